@@ -89,3 +89,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_share: flo
     extra = F.when(F.col("bin1") < F.col("bin1_at"), F.col("size")).when(F.col("bin1") == F.col("bin1_at"), in2).otherwise(F.lit(0))
     out = with_sources(sizes, per).withColumn("extra", extra.cast("long"))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "repeats", "extra", (F.col("repeats") * F.col("size") + F.col("extra")).alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, all columns, as often as the mix takes them; one that is taken in part comes whole.
+
+    Rows of one id and source are alike to the mix: each comes as often as the one of them that is taken most often.
+    """
+    taken = mix(docs, weights, budget_share, max_epochs, seed, id_col, text_col, source_col)
+    times = taken.select(F.col(id_col).alias("_id"), (F.col("repeats") + (F.col("extra") > 0).cast("long")).cast("int").alias("_times"))
+    times = times.groupBy("_id").agg(F.max("_times").alias("_times")).filter("_times > 0")
+    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
+    return joined.withColumn("_copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -39,8 +39,10 @@ class PieceCounter:
 
     def starts(self, text: str, begin: int, end: int) -> np.ndarray:
         """Where the tokens of text[begin:end], encoded by itself, start in the text."""
-        found = self.sp.encode(text[begin:end], out_type="immutable_proto")
-        return np.array([x.begin for x in found.pieces], np.int64) + begin
+        part = text[begin:end]
+        at = np.array([x.begin for x in self.sp.encode(part, return_type="proto").pieces], np.int64)  # in bytes
+        leads = (np.frombuffer(part.encode(), np.uint8) & 0xC0) != 0x80
+        return np.append(np.cumsum(leads) - 1, len(part))[at] + begin
 
     def count(self, text: str) -> int:
         n = len(text)
