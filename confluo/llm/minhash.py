@@ -22,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, small_batches, stash
+from .shared import columns, hinted, small_batches, stash
 from .words import batch_words, mix64, odd_numbers, window_hashes
 
 WIDTH = 5  # words in a shingle
 COORDINATES, MATCH = 48, 22
 LEAST = 0.75
+FEW = 200_000  # rows of two numbers that may be broadcast
 BLOCK, CHUNK = 1024, 4_000_000  # sets in a block at most (on average), shingles it meets in a task
 
 
@@ -226,8 +227,9 @@ def near_duplicates(docs: DataFrame, threshold: float = LEAST, id_col: str = "do
     postings = stash(prefix_postings(sets.select("node", "signature")), "postings")
     meet = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     postings = stash(postings.join(stash(meet, "meet"), "key"), "postings")
-    wanted = postings.select("node").distinct().join(sets.select("node", "first_id"), "node")
-    texts = columns(docs, [id_col, text_col]).toDF("first_id", "text").join(stash(wanted, "wanted"), "first_id").select("node", "text")
+    wanted = stash(postings.select("node").distinct().join(sets.select("node", "first_id"), "node"), "wanted")
+    wanted = hinted(wanted, wanted.count(), FEW)  # two numbers a row; else all texts are shuffled to meet them
+    texts = columns(docs, [id_col, text_col]).toDF("first_id", "text").join(wanted, "first_id").select("node", "text")
     texts = stash(texts.mapInArrow(own_text_batches, "node long, text string"), "texts")
     labels = linked(postings, sets, texts, threshold)
     named = labels.join(sets.select("node", "first_id"), "node")
