@@ -122,7 +122,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Of normalised titles: 1 if equal, 0 if either is empty, else the Jaccard index of their bigrams."""
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(jaccard(bigrams(a), bigrams(b)))
+    return similarity_of(a, b, bigrams(a), bigrams(b))
+
+
+def similarity_of(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Column:
+    """As title_similarity, from bigrams made once a row, before a join."""
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(jaccard(grams_a, grams_b))
 
 
 def overlap_score(a: Column, b: Column) -> Column:

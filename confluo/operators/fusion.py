@@ -38,25 +38,26 @@ def evidence_hash(hashes: Column) -> Column:
 def merge_evidence(evidence: DataFrame, keys: list[str], field: str = "field") -> DataFrame:
     """Per key and field: value_json, availability_status, confidence, approval_hash, approval_state, n_values.
 
-    evidence: keys, field, value_json, availability_status, evidence_hash, confidence. Equal published values are
-    gathered first; several of an additive field make the sorted union, of another a conflict without approval hash.
-    Without a published value the status of highest rank prevails. The values of a field are joined by a line feed.
+    evidence: keys, field, value_json, availability_status, evidence_hash, confidence. Several published values of an
+    additive field make the sorted union, of another a conflict without approval hash. Without a published value the
+    status of highest rank prevails. The values of a field are joined by a line feed. As an approval covers every hash
+    of its evidence, the evidence of one field of one thing is gathered, in one shuffle.
     """
-    published = F.col("availability_status") == "published"
-    groups = evidence.groupBy(*keys, field, "value_json", "availability_status").agg(F.collect_list("evidence_hash").alias("hashes"), F.max("confidence").alias("confidence"))
-    rank = F.struct(availability_rank(F.col("availability_status")).alias("r"), F.col("availability_status").alias("s"))
-    out = groups.groupBy(*keys, field).agg(
-        F.sort_array(F.collect_set(F.when(published, F.col("value_json")))).alias("values"), F.flatten(F.collect_list(F.when(published, F.col("hashes")))).alias("shown"), F.max(F.when(published, F.col("confidence"))).alias("sure"),
-        F.max(F.when(~published, rank)).alias("worst"), F.collect_list(F.when(~published, F.struct("availability_status", "hashes", "confidence"))).alias("others"),
-    )
+    item = F.struct("value_json", "availability_status", "evidence_hash", "confidence", availability_rank(F.col("availability_status")).alias("rank"))
+    lists = evidence.groupBy(*keys, field).agg(F.collect_list(item).alias("items"))
+    published = F.filter("items", lambda x: x["availability_status"] == "published")
+    rest = F.filter("items", lambda x: x["availability_status"] != "published")
+    lists = lists.select(*keys, field, published.alias("shown"), rest.alias("others"))
+    out = lists.withColumn("values", F.array_sort(F.array_distinct(F.transform("shown", lambda x: x["value_json"])))).withColumn("worst", F.array_max(F.transform("others", lambda x: F.struct(x["rank"].alias("r"), x["availability_status"].alias("s")))))
+    hashes = lambda c: F.transform(c, lambda x: x["evidence_hash"])
     n, additive = F.size("values"), F.col(field).isin(*ADDITIVE)
     relevant = F.filter("others", lambda x: x["availability_status"] == F.col("worst.s"))
     text = F.array_join(F.col("values"), "\n")
     conflict = (n > 1) & ~additive
-    approval = F.when(conflict, None).when(n > 1, F.sha2(F.concat_ws("|", text, F.array_join(F.sort_array("shown"), "|")), 256)).when(n == 1, evidence_hash(F.col("shown"))).otherwise(evidence_hash(F.flatten(F.transform(relevant, lambda x: x["hashes"]))))
+    approval = F.when(conflict, None).when(n > 1, F.sha2(F.concat_ws("|", text, F.array_join(F.sort_array(hashes("shown")), "|")), 256)).when(n == 1, evidence_hash(hashes("shown"))).otherwise(evidence_hash(hashes(relevant)))
     return out.select(
         *keys, field, F.when((n > 0) & ~conflict, text).alias("value_json"), F.when(conflict, "conflicting_sources").when(n > 0, "published").otherwise(F.col("worst.s")).alias("availability_status"),
-        F.when(n > 0, F.col("sure")).otherwise(F.array_max(F.transform(relevant, lambda x: x["confidence"]))).alias("confidence"), approval.alias("approval_hash"), F.when(conflict, "conflict").otherwise("pending_review").alias("approval_state"), n.alias("n_values"),
+        F.array_max(F.transform(F.when(n > 0, F.col("shown")).otherwise(relevant), lambda x: x["confidence"])).alias("confidence"), approval.alias("approval_hash"), F.when(conflict, "conflict").otherwise("pending_review").alias("approval_state"), n.alias("n_values"),
     )
 
 

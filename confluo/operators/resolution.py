@@ -23,7 +23,7 @@ def folded(records: DataFrame, name: str, variants: DataFrame, compatible: bool
     return left.join(variants.select("entity_id", text.fold_japanese(F.col("variant"), compatible).alias("_folded")), "_folded").drop("_folded").distinct()
 
 
-def contained(records: DataFrame, key: str, name: str, variants: DataFrame, least: int = 5, most_variants: int = 100_000) -> DataFrame:
+def contained(records: DataFrame, key: str, name: str, variants: DataFrame, least: int = 5) -> DataFrame:
     """The entity whose variant of at least `least` characters holds the name or is held by it; the longest variant wins,
     then the smallest id. Names share a piece of `least` characters with such a variant, or are shorter than it, so the
     pieces of both are joined instead of all names with all variants; short names meet variants by their own pieces."""
@@ -96,8 +96,13 @@ def match_observations(observations: DataFrame, events: DataFrame) -> DataFrame:
     return observations.select("obs_id").join(found, "obs_id", "left").select("obs_id", result.alias("r")).select("obs_id", "r.*")
 
 
-def fuzzy_top(queries: DataFrame, items: DataFrame, key: str, name: str, threshold: float, n: int, most_items: int = 1_000_000) -> DataFrame:
-    """Per query the n best items by edit distance over length, at or below the threshold, ties by id. queries: query; few."""
+def fuzzy_top(queries: DataFrame, items: DataFrame, key: str, name: str, threshold: float, n: int, most_queries: int = 10_000) -> DataFrame:
+    """Per query the n best items by edit distance over length, at or below the threshold, ties by id. queries: query.
+
+    The queries are sent to all items, so their number is checked; more than `most_queries` are refused.
+    """
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError(f"more than {most_queries} queries")
     pairs = F.broadcast(queries).crossJoin(items)
     distance = F.levenshtein(F.col("query"), F.col(name)) / F.greatest(F.char_length("query"), F.char_length(name))
     scored = pairs.withColumn("distance", F.round(distance, 6)).filter(F.col("distance") <= threshold)

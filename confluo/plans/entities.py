@@ -58,8 +58,8 @@ SELECT a.p_partkey AS a_partkey, c.p_partkey AS b_partkey, round(CASE WHEN a.s =
 WHERE CASE WHEN a.s = c.s THEN 1.0 ELSE len(list_intersect(a.b, c.b)) / len(list_distinct(list_concat(a.b, c.b))) END >= 0.4""")
 def bigram_similarity(spark, d):
     """Pairs of parts of a brand with alike names."""
-    rows = table(spark, d, "part").filter("p_size <= 10").select("p_partkey", "p_brand", text.normalize_name(F.col("p_name"), compatible=False).alias("s"))
-    met = pairs.bucket_pairs(rows, ["p_brand"], "p_partkey").withColumn("similarity", text.title_similarity(F.col("a_s"), F.col("b_s")))
+    rows = table(spark, d, "part").filter("p_size <= 10").select("p_partkey", "p_brand", text.normalize_name(F.col("p_name"), compatible=False).alias("s")).withColumn("g", text.bigrams(F.col("s")))
+    met = pairs.bucket_pairs(rows, ["p_brand"], "p_partkey").withColumn("similarity", text.similarity_of(F.col("a_s"), F.col("b_s"), F.col("a_g"), F.col("b_g")))
     return met.filter("similarity >= 0.4").select(F.col("a_p_partkey").alias("a_partkey"), F.col("b_p_partkey").alias("b_partkey"), F.round("similarity", 6).alias("similarity"))
 
 
