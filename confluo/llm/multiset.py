@@ -15,11 +15,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .shared import columns, small_batches
 
@@ -82,7 +84,7 @@ def vectors(texts: list[str]) -> Vectors:
         starts = (np.cumsum(n_paragraphs) - n_paragraphs)[some]
         exact[some] = np.add.reduceat(np.frombuffer(b"".join(wide), "<u8").reshape(-1, EXACT), starts, axis=0)
         raw = np.frombuffer(b"".join(bits), np.uint8).reshape(-1, SKETCH // 8)
-        at, step = np.concatenate([[0], np.cumsum(counts)]), 1 << 15
+        step = 1 << 15
         docs = np.repeat(np.arange(n), counts)
         for a in range(0, len(raw), step):  # a bounded number of units at a time
             own = docs[a : a + step]
@@ -90,7 +92,6 @@ def vectors(texts: list[str]) -> Vectors:
             ones = np.add.reduceat(np.unpackbits(raw[a : a + step], axis=1), heads, axis=0, dtype=np.int32)
             each = np.diff(np.append(heads, len(own)))[:, None]
             sketch[own[heads]] += (2 * ones - each).astype(np.int64).astype(np.uint16)
-        assert at[-1] == len(raw)
     return Vectors(exact, counts.astype(np.uint32), sketch)
 
 
@@ -126,35 +127,39 @@ def edited(text: str, following: str) -> str:
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_bucket: int) -> DataFrame:
     """(bucket, extra, id, text): the rows by falling id in buckets, each followed by one `extra` row that opens the next
-    bucket (the last by that which opens the first). Ids are cut into ranges by approximate quantiles; what the driver
-    holds is a cut and an id for each bucket, so its size follows the number of buckets, not of texts."""
+    bucket (the last by that which opens the first). Ids are cut into ranges by a sample of them, taken by hash; what the
+    driver holds is about 20 ids for each bucket (100,000 at most), so its size follows the number of buckets."""
     own = columns(docs, [id_col, text_col]).toDF("id", "text")
     n = own.select("id").count()
     n_buckets = max(1, min(100_000, n // rows_per_bucket))
-    bucket = F.lit(0)
+    edges: list = []
     if n_buckets > 1:
-        share = [i / n_buckets for i in range(1, n_buckets)]
-        found = own.agg(F.percentile_approx("id", share, 20 * n_buckets)).first()[0] or []
-        edges = sorted(set(found), reverse=True)
-        bucket = range_of(F.col("id"), edges)
-    placed = own.withColumn("bucket", F.coalesce(bucket, F.lit(n_buckets)))
+        share = min(1_000_000, -(-20_000_000 * n_buckets // n))
+        sample = own.select("id").filter(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))
+        found = sorted(r[0] for r in sample.collect())
+        edges = sorted(set(found[:: max(1, len(found) // n_buckets)]))
+    cuts = own.sparkSession.sparkContext.broadcast(np.array(edges))
+    last = len(edges) + 1
+
+    @F.pandas_udf(IntegerType())
+    def bucket_of(ids: pd.Series) -> pd.Series:
+        out = np.full(len(ids), last, np.int32)  # ids that are null come last
+        there = ids.notna().to_numpy()
+        if there.any():
+            own = ids[there].astype(cuts.value.dtype).to_numpy() if len(cuts.value) else ids[there]
+            out[there] = len(cuts.value) - np.searchsorted(cuts.value, own, side="right") if len(cuts.value) else 0
+        return pd.Series(out)
+
+    placed = own.withColumn("bucket", bucket_of("id"))
     opens = sorted((r[0], r[1]) for r in placed.groupBy("bucket").agg(F.max("id").alias("id")).collect())
     before = {b: opens[i - 1][0] for i, (b, _) in enumerate(opens)}  # the first opens after the last
     first = own.sparkSession.createDataFrame([(b, i, before[b]) for b, i in opens], f"bucket int, head {own.schema['id'].dataType.simpleString()}, before int")
     marked = placed.join(F.broadcast(first), "bucket")
-    copies = F.when(F.col("id").eqNullSafe(F.col("head")), F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra"))))
+    here = F.struct(F.col("bucket"), F.lit(0).alias("extra"))
+    copies = F.when(F.col("id").eqNullSafe(F.col("head")), F.array(here, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(here))
     return marked.withColumn("c", F.explode(copies)).select("c.bucket", "c.extra", "id", "text")
 
 
-def range_of(value: Column, falling: list) -> Column:
-    """In which of the ranges between `falling` cuts a value lies: 0 above the first cut, and so on. Null: null."""
-    above = F.size(F.filter(F.array(*[F.lit(x) for x in falling]), lambda x: x >= value)) if len(falling) <= 16 else None
-    if above is not None:
-        return F.when(value.isNotNull(), above)
-    middle = len(falling) // 2
-    return F.when(value > falling[middle], range_of(value, falling[:middle])).when(value <= falling[middle], F.lit(middle) + range_of(value, falling[middle:]))
-
-
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 1000) -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 

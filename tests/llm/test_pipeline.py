@@ -39,3 +39,17 @@ def test_pipeline(spark, small):
 
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_with_odd_rows(spark, small):
+    """Nulls in any column, empty texts, repeated rows: clean documents stay."""
+    docs = table(spark, small, "documents").limit(40)
+    odd = spark.createDataFrame([(None, "quite another text of six words", None, None, None), (None, "quite another text of six words", None, None, None), (9001, None, "en", None, 0), (9002, "", None, "s", 0), (9003, "one text under an id here", "en", "s", 1), (9003, "another text under the same id", "en", "s", 1), (9003, "one text under an id here", "en", "s", 1)], docs.schema)
+    found = corpus_pipeline.near_duplicates(spark, odd, small).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in found) == Counter({(None, "quite another text of six words"): 1, (9001, None): 1, (9002, ""): 1, (9003, "one text under an id here"): 1, (9003, "another text under the same id"): 1})
+    both = stash(docs.unionByName(odd), "odd")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, both, small)
+        assert kept.columns == docs.columns and kept.count() > 0
+        assert stage(spark, both.limit(0), small).count() == 0
+    assert corpus_pipeline.packed(spark, both, small).filter("piece = 0").count() == both.count()
