@@ -20,9 +20,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; of repeated rows of it, one."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, that with the smallest id; of repeated rows of it, one.
+
+    Documents without an id are named by a hash of their text, beyond all ids, and so give way to those that have one.
+    Different texts under one id both stay."""
+    named = docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))))
+    kept = minhash.near_duplicates(named, id_col="_key").filter("kept").select("_key").distinct()
+    once = named.join(kept, "_key", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_key", "_text"])
+    return once.select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
