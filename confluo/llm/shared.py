@@ -42,7 +42,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 300, most_bytes: int = 2 << 20) -> None:
     """Bound what one Arrow batch holds, as texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
