@@ -140,7 +140,7 @@ def encoder(tokenizer_file: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """Pieces of at most `capacity` ids of each text followed by `end_id`: id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000, 8 << 20)  # units that texts share are looked up once a batch
     own = columns(docs, [id_col, text_col])
     id_type = own.schema[0].dataType.simpleString()
 
