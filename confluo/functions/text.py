@@ -16,6 +16,13 @@ NAME_SEPARATORS = r"(?i)\s*(?:/|／|、|,|，|×|\s&\s|\band\b|\bx\b)\s*"
 ROLE_LABELS = r"(?i)[【［<＜](?:guest|ゲスト|出演|opening\s*act|live\s*act)[】］>＞]"
 ROLE_PREFIXES = r"(?i)[■◆●・]?\s*(?:スペシャルゲスト|guest|ゲスト|opening\s*act|live\s*act|出演|vs)\s*[:：]\s*"
 NOT_NAMES = r"(?i)^(?:guest|ゲスト|出演者|more(?:\.{3}|…)?|coming\s*soon(?:…|\.\.\.)?|not\s*found)$"
+#: What is replaced in a line-up before it is split, in this order.
+LINE_UP_RULES = (
+    (r"^出演者?\s*[:：]\s*", ""), (r"(?i)^【\s*(?:day\s*\d+|第\d+部)\s*】\s*", ""), (ROLE_LABELS, " / "), (ROLE_PREFIXES, " / "), (r"(?i)\s+(?:guest|ゲスト)\s+", " / "), (r"(?i)member\s*[:：]\s*", " / "),
+    (r"(?i)\s+(?:w/|with\s+guest)\s+", " / "), (r"\s+(?:他|ほか)\s*$", ""), (r"\s*[※＊]\s*ゲストあり\s*$", ""), (r"\s*[（(]\s*順不同\s*[）)]\s*$", ""),
+)
+#: What is removed from each name, in this order.
+NAME_RULES = (r"^[▷▶◆■●+]\s*", r"^[＜<]?(?:司会|出演)[＞>]?\s*", r"^【[^】]+】\s*", r"^[（(]\s*", r"[）)]\s*$", r"(?i)^MC\s*[:：]\s*", r"\s*→\s*出演キャンセル.*$", r"\s*[※＊]\s*出演者.*$")
 #: Entities that visible text replaces by a space.
 ENTITIES = r"(?i)&(?:nbsp|amp|lt|gt|quot|#39);"
 
@@ -60,12 +67,12 @@ def split_names(c: Column) -> Column:
     raw = F.when(F.regexp_count(raw, F.lit("・")) >= 3, F.replace(raw, F.lit("・"), F.lit(" / "))).otherwise(raw)
     text = clean_text(raw)
     gone = text.rlike("出演キャンセル") & ~text.rlike("[/／、,，×]")
-    for pattern, by in ((r"^出演者?\s*[:：]\s*", ""), (r"(?i)^【\s*(?:day\s*\d+|第\d+部)\s*】\s*", ""), (ROLE_LABELS, " / "), (ROLE_PREFIXES, " / "), (r"(?i)\s+(?:guest|ゲスト)\s+", " / "), (r"(?i)member\s*[:：]\s*", " / "), (r"(?i)\s+(?:w/|with\s+guest)\s+", " / "), (r"\s+(?:他|ほか)\s*$", ""), (r"\s*[※＊]\s*ゲストあり\s*$", ""), (r"\s*[（(]\s*順不同\s*[）)]\s*$", "")):
+    for pattern, by in LINE_UP_RULES:
         text = F.regexp_replace(text, pattern, by)
 
     def tidy(x: Column) -> Column:
         x = clean_text(x)
-        for pattern in (r"^[▷▶◆■●+]\s*", r"^[＜<]?(?:司会|出演)[＞>]?\s*", r"^【[^】]+】\s*", r"^[（(]\s*", r"[）)]\s*$", r"(?i)^MC\s*[:：]\s*", r"\s*→\s*出演キャンセル.*$", r"\s*[※＊]\s*出演者.*$"):
+        for pattern in NAME_RULES:
             x = F.regexp_replace(x, pattern, "")
         return x
 

@@ -11,6 +11,11 @@ TRACKING = ("fbclid", "gclid", "igshid", "ref", "source", "utm_campaign", "utm_c
 CREDENTIALS = ("access_token", "auth", "code", "key", "password", "session", "sig", "signature", "token")
 #: Hosts of ticket providers.
 PROVIDERS = (("eplus", r"(?:^|\.)eplus\.jp$"), ("pia", r"(?:^|\.)pia\.jp$"), ("lawson", r"(?:^|\.)l-tike\.com$"), ("ticketbook", r"(?:^|\.)ticketbook\.jp$"))
+#: What tells kinds of pages by their path and query.
+REFUND = r"(?:^|[/_-])refund\d*(?:[/_.-]|$)|haraimodoshi|払い?戻し?"
+SUPPORT = r"(?:^|[/_-])(?:help|faq|support|guide|contact)(?:[/_.-]|$)|/hc/"
+SEARCH = r"/search(?:[_/-]|/)|[?&](?:kw|keyword|q)=|search_all\.do"
+OTHER_DETAIL = r"livepocket\.jp/(?:e|ticket)|tiget\.net/events|t-dv\.com/"
 
 
 def parts(url: Column) -> dict[str, Column]:
@@ -56,11 +61,11 @@ def kind(url: Column) -> Column:
         | ((who == "pia") & p["path"].contains("/event/event.do") & query.rlike("(?i)[?&](?:eventCd|eventBundleCd)="))
         | ((who == "lawson") & p["path"].rlike("/mevent(?:/|$)") & query.rlike("(?i)[?&]mid="))
         | ((who == "ticketbook") & p["path"].rlike("/(?:event|detail|ticket)/"))
-        | F.concat(p["host"], p["path"]).rlike(r"livepocket\.jp/(?:e|ticket)|tiget\.net/events|t-dv\.com/")
+        | F.concat(p["host"], p["path"]).rlike(OTHER_DETAIL)
     )
     return (
-        F.when(c.isNull(), "unknown").when(place.rlike(r"(?:^|[/_-])refund\d*(?:[/_.-]|$)|haraimodoshi|払い?戻し?"), "refund").when(place.rlike(r"(?:^|[/_-])(?:help|faq|support|guide|contact)(?:[/_.-]|$)|/hc/"), "support")
-        .when(place.rlike(r"/search(?:[_/-]|/)|[?&](?:kw|keyword|q)=|search_all\.do"), "search").when(detail, "event_detail").when(who != "other", "generic_provider").otherwise("unknown")
+        F.when(c.isNull(), "unknown").when(place.rlike(REFUND), "refund").when(place.rlike(SUPPORT), "support")
+        .when(place.rlike(SEARCH), "search").when(detail, "event_detail").when(who != "other", "generic_provider").otherwise("unknown")
     )
 
 

@@ -24,7 +24,7 @@ def canonical_record(df: DataFrame, hashed: list[str]) -> DataFrame:
     return df.withColumn("content_hash", F.sha2(F.to_json(F.struct(*hashed), {"ignoreNullFields": "false"}), 256))
 
 
-def ticketmaster_events(raw: DataFrame, body: str = "content") -> DataFrame:
+def api_events(raw: DataFrame, body: str = "content") -> DataFrame:
     """Rows of an API page: title, date, start_time, venue_name, prices_jpy. Without title, date or venue: dropped."""
     schema = "_embedded struct<events:array<struct<id:string,name:string,url:string,dates:struct<start:struct<localDate:string,localTime:string>>,priceRanges:array<struct<currency:string,min:double,max:double>>,_embedded:struct<venues:array<struct<name:string>>>>>>"
     e = raw.select(F.posexplode(F.from_json(body, schema)["_embedded"]["events"]).alias("pos", "e"))

@@ -132,7 +132,7 @@ def test_records(spark, tmp_path):
     (tmp_path / "x.json").write_text('[{"a": 1}, {"a": 2}]')
     assert records.read_json(spark, f"file://{tmp_path}/x.json", "a int").count() == 2
     api = '{"_embedded": {"events": [{"id": "1", "name": "N", "dates": {"start": {"localDate": "2026-01-01", "localTime": "18:30:00"}}, "priceRanges": [{"currency": "JPY", "min": 9000.0, "max": 12000.0}], "_embedded": {"venues": [{"name": "V"}]}}, {"id": "2", "name": "M"}]}}'
-    (r,) = records.ticketmaster_events(spark.createDataFrame([(api,)], "content string")).collect()
+    (r,) = records.api_events(spark.createDataFrame([(api,)], "content string")).collect()
     assert (r["start_time"], r["prices_jpy"], r["venue_name"]) == ("18:30", [9000, 12000], "V")
     shows = spark.createDataFrame([(["12:00"], ["13:00", "18:00"])], "opens array<string>, starts array<string>")
     assert rows(records.arena_shows(shows), "open_time", "start_time") == [("12:00", "13:00"), ("12:00", "18:00")]
