@@ -70,3 +70,13 @@ def retry_delay_ms(attempt: Column, retry_after: Column, jitter: Column, most: i
 def months_from(start: Column, n: int) -> Column:
     first = F.trunc(start, "MM")
     return F.transform(F.sequence(first, F.add_months(first, n - 1), F.expr("INTERVAL 1 MONTH")), lambda d: F.date_format(d, "yyyy-MM"))
+
+
+def valid_local(c: Column) -> Column:
+    """Whether a text is a local date and time, yyyy-MM-ddTHH:mm, of a real day."""
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d$") & F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+
+
+def deadline_instant(local: Column, offset: str = "+09:00") -> Column:
+    """The instant of a local date and time in a zone of fixed offset; null where invalid."""
+    return F.when(valid_local(local), F.try_to_timestamp(F.concat(local, F.lit(f":00{offset}"))))

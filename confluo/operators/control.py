@@ -78,3 +78,36 @@ def merge_queue(seed: DataFrame, previous: DataFrame) -> DataFrame:
     """The seed's jobs with the state that earlier ones of the same url had; others of old vanish. url, role; url, status, attempts."""
     joined = seed.join(previous.select("url", F.col("status").alias("_s"), F.col("attempts").alias("_n")), "url", "left")
     return joined.withColumn("status", F.coalesce("_s", F.lit("pending"))).withColumn("attempts", F.coalesce("_n", F.lit(0))).drop("_s", "_n")
+
+
+def planned_ids(spark, ids: list[str], known: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """The distinct ids asked for, by name; refused if there are none, too many, or unknown ones."""
+    wanted = sorted(set(ids))
+    if not 0 < len(wanted) <= most:
+        raise ValueError(f"1 to {most} ids are needed")
+    df = spark.createDataFrame([(x,) for x in wanted], f"{key} string")
+    lost = [r[0] for r in df.join(known.select(key), key, "left_anti").collect()]
+    if lost:
+        raise ValueError(f"unknown ids: {', '.join(lost)}")
+    return df
+
+
+def seed_jobs(links: DataFrame) -> DataFrame:
+    """A job for each canonical url of unchecked links, with the events that name it. links: event_id, url, role, checked."""
+    from confluo.functions.urls import canonical
+
+    rows = links.filter(~F.coalesce("checked", F.lit(False))).withColumn("url", canonical(F.col("url"))).filter("url is not null")
+    return rows.groupBy("url").agg(F.min_by("role", F.when(F.col("role") == "ticket_detail", 0).otherwise(1)).alias("role"), F.array_sort(F.collect_set("event_id")).alias("event_ids"), F.lit("pending").alias("status"))
+
+
+def without_facts(offers: DataFrame, facts: list[str], kind: str = "url_kind") -> DataFrame:
+    """Offers whose link is no page of one event lose all facts."""
+    return offers.withColumns({c: F.when(F.col(kind) == "event_detail", F.col(c)) for c in facts})
+
+
+def gated(df: DataFrame, broken: DataFrame) -> DataFrame:
+    """df, if no rule is broken."""
+    found = [r["rule"] for r in broken.select("rule").distinct().orderBy("rule").limit(5).collect()]
+    if found:
+        raise ValueError(f"not published, as rules are broken: {', '.join(found)}")
+    return df

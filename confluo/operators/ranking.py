@@ -42,3 +42,8 @@ def batch(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     for x in same[1:]:
         on = on & x
     return df.join(chosen.withColumn("_in", F.lit(True)), on, "left").select(*keys, F.coalesce("_in", F.lit(False)).alias("selected"))
+
+
+def japanese(c: str) -> Column:
+    """A sort key by Japanese collation."""
+    return F.collate(F.col(c), "ja")

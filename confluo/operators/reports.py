@@ -42,3 +42,13 @@ def delta(before: DataFrame, after: DataFrame, metric: str = "metric", value: st
     joined = before.select(metric, F.col(value).alias("before")).join(after.select(metric, F.col(value).alias("after")), metric, "full_outer")
     change = F.col("after") - F.col("before")
     return joined.withColumn("change", change).withColumn("percent", F.round(100.0 * change / F.nullif(F.col("before"), F.lit(0)), 1))
+
+
+def latest_of(c: Column, fallback: Column) -> Column:
+    """The latest valid moment of a group, else the fallback."""
+    return F.coalesce(F.max(F.try_to_timestamp(c)), fallback)
+
+
+def known_joined(c: Column, sep: str = ", ") -> Column:
+    """The distinct known values of a group, in order, joined."""
+    return F.array_join(F.array_sort(F.collect_set(F.when(~c.isin("", "unknown"), c))), sep)

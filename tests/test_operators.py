@@ -163,3 +163,37 @@ def test_streaming(spark, tmp_path):
     q = state.windowed_counts(spark.readStream.schema(schema).parquet(src), "at", ["k"], "1 day").writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", f"file://{tmp_path}/c3").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 4
+
+
+def test_gates_and_seeds(spark):
+    known = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert rows(control.planned_ids(spark, ["b", "a", "b"], known, "id"), "id") == [("a",), ("b",)]
+    for bad in ([], ["zz"], [str(i) for i in range(11)]):
+        with pytest.raises(ValueError):
+            control.planned_ids(spark, bad, known, "id")
+    links = spark.createDataFrame([("e1", "https://X.jp/a/?utm_source=q", "official", False), ("e2", "https://x.jp/a", "ticket_detail", None), ("e3", "https://x.jp/b", "official", True), ("e4", "none", "official", False)], "event_id string, url string, role string, checked boolean")
+    assert rows(control.seed_jobs(links), "url", "role", "event_ids") == [("https://x.jp/a", "ticket_detail", ["e1", "e2"])]
+    offers = spark.createDataFrame([("event_detail", "x"), ("search", "x")], "url_kind string, fact string")
+    assert rows(control.without_facts(offers, ["fact"]), "url_kind", "fact") == [("event_detail", "x"), ("search", None)]
+    none = spark.createDataFrame([], "path string, rule string")
+    assert control.gated(offers, none).count() == 2
+    with pytest.raises(ValueError):
+        control.gated(offers, spark.createDataFrame([("p", "r")], none.schema))
+
+
+def test_groups_and_collation(spark):
+    from confluo.operators import reports
+
+    df = spark.createDataFrame([(1, "2026-01-01 00:00:00", "b"), (1, "bad", "a"), (1, None, "unknown"), (2, None, "")], "k int, at string, v string")
+    out = df.groupBy("k").agg(reports.latest_of(F.col("at"), F.lit("2020-01-01").cast("timestamp")).alias("at"), reports.known_joined(F.col("v")).alias("v")).orderBy("k").collect()
+    assert [(str(r["at"])[:10], r["v"]) for r in out] == [("2026-01-01", "a, b"), ("2020-01-01", "")]
+    kana = spark.createDataFrame([("い",), ("ア",), ("う",)], "s string")
+    assert [r["s"] for r in kana.orderBy(ranking.japanese("s")).collect()] == ["ア", "い", "う"]
+
+
+def test_deadlines(spark):
+    from confluo.functions import clock
+
+    df = spark.createDataFrame([("2026-02-30T10:00",), ("2026-02-28T24:00",), ("2026-02-28T10:00",), (None,)], "c string")
+    assert [r[0] for r in df.select(clock.valid_local(F.col("c"))).collect()] == [False, False, True, False]
+    assert [str(r[0]) for r in df.select(clock.deadline_instant(F.col("c")).cast("string")).collect()] == ["None", "None", "2026-02-28 01:00:00", "None"]
