@@ -46,6 +46,22 @@ def contained(records: DataFrame, key: str, name: str, variants: DataFrame, leas
     return best
 
 
+def held(records: DataFrame, name: str, variants: DataFrame, most: int = 100_000) -> DataFrame:
+    """Each record with each variant (entity_id, variant) that its name holds, however long either is.
+
+    A variant of three words or more holds whole words of the name between its first and last space, so it meets the names
+    with the longest of these; variants of one or two words have none and are compared with all names. Variants are
+    broadcast only while they are at most `most`.
+    """
+    words = F.split("variant", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
+    anchored = variants.withColumn("_anchor", F.array_max(inner)["w"])
+    anchored = F.broadcast(anchored) if variants.count() <= most else anchored
+    inside = F.contains(F.col(name), F.col("variant"))
+    by_word = records.withColumn("_anchor", F.explode(F.array_distinct(F.split(name, " ")))).join(anchored, "_anchor").filter(inside)
+    return by_word.drop("_anchor").unionByName(records.join(anchored.filter("_anchor is null").drop("_anchor"), inside))
+
+
 def resolve(records: DataFrame, key: str, name: str, hint: str, variants: DataFrame, aliases: DataFrame) -> DataFrame:
     """records with entity_id by the first that gives one: a known hint, an alias (name, alias_id), an exact variant, containment."""
     ids = variants.select(F.col("entity_id").alias("_hint")).distinct()

@@ -85,6 +85,16 @@ def containment_match(spark, d):
     return found.groupBy("doc_id").agg(F.min_by("entity_id", longest).alias("item_id"))
 
 
+@query("""WITH v AS (SELECT item_id, lower(regexp_extract(text, '^([^.\n]{5,})\\.', 1)) AS v FROM benchmark), m AS (SELECT doc_id, item_id, len(v) AS n FROM documents JOIN v ON contains(lower(text), v) WHERE v <> '')
+SELECT doc_id, min(item_id) AS item_id FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS m FROM m) WHERE n = m GROUP BY doc_id""")
+def containment_whole(spark, d):
+    """As containment_match, over documents of every language and length and every first sentence of five characters or
+    more (the least of the reference). It holds no full stop, so whole texts are searched instead of sentences."""
+    items = table(spark, d, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "^([^.\n]{5,})\\.", 1)).alias("variant")).filter("variant <> ''")
+    found = resolution.held(table(spark, d, "documents").select("doc_id", F.lower("text").alias("text")), "text", items)
+    return found.groupBy("doc_id").agg(F.min_by("item_id", F.struct(-F.char_length("variant"), F.col("item_id"))).alias("item_id"))
+
+
 @query("""WITH a(entity_id, variant) AS (VALUES (1, 'small ring'), (1, 'tiny ring'), (2, 'red widget'), (3, 'blue bolt')) SELECT p_partkey, p_name, entity_id, CASE WHEN entity_id IS NULL THEN 'unresolved' ELSE 'exact' END AS state FROM part LEFT JOIN a ON p_name = variant""")
 def exact_and_unresolved(spark, d):
     variants = spark.createDataFrame([(1, "small ring"), (1, "tiny ring"), (2, "red widget"), (3, "blue bolt")], "entity_id int, variant string")
