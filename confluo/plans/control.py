@@ -17,6 +17,18 @@ def rule_violations(spark, d):
     return control.union_all([own, missing, control.duplicate_keys(table(spark, d, "lineitem").filter("l_linenumber = 1"), "l_orderkey")])
 
 
+def guarded(lines):
+    """Lines as offers before (small quantities) and after (large ones)."""
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key")
+    line = lines.groupBy(key, F.col("l_orderkey").alias("id")).agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_quantity").alias("q"))
+    verified = (F.col("f") == "A").alias("verified")
+    old = line.filter("q <= 40").select("key", "id", F.when(F.col("s") == "O", "event_detail").otherwise("search").alias("url_kind"), F.lit("available").alias("inventory"), verified, F.when(F.col("f") == "N", "unknown").otherwise(F.col("f")).alias("flag"))
+    new = line.filter("q >= 10").select("key", "id", F.when(F.col("q") > 20, "event_detail").otherwise("search").alias("url_kind"), F.when(F.col("f") == "R", "sold_out").otherwise("available").alias("inventory"), verified, F.col("f").alias("flag"))
+    before = old.select("id").distinct().withColumn("status", F.lit("on_sale"))
+    after = new.groupBy("id").agg(F.when(F.count_if(F.col("inventory") == "sold_out") > 0, "sold_out").otherwise("on_sale").alias("status"))
+    return control.publish_blockers(before, after, old, new, line.filter("q < 5").select("key"), ["flag"])
+
+
 @query("""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_orderkey AS id, min(l_returnflag) AS f, min(l_linestatus) AS s, min(l_quantity) AS q FROM lineitem WHERE l_partkey < 400 GROUP BY 1, 2),
 b AS (SELECT key, id, CASE WHEN s = 'O' THEN 'event_detail' ELSE 'search' END AS url_kind, f = 'A' AS verified, CASE WHEN f = 'N' THEN 'unknown' ELSE f END AS flag FROM l WHERE q <= 40),
 a AS (SELECT key, id, CASE WHEN q > 20 THEN 'event_detail' ELSE 'search' END AS url_kind, CASE WHEN f = 'R' THEN 'sold_out' ELSE 'available' END AS inventory, f = 'A' AS verified, f AS flag FROM l WHERE q >= 10),
@@ -29,14 +41,22 @@ UNION ALL SELECT 'single_offer_promoted_to_event_sold_out', CAST(id AS VARCHAR)
 UNION ALL SELECT 'unverified_fields_became_known', CAST(a.key AS VARCHAR) FROM a JOIN b USING (key) WHERE b.flag = 'unknown' AND a.flag <> 'unknown' AND NOT a.verified""")
 def publish_guard(spark, d):
     """Lines as offers before (small quantities) and after (large ones)."""
-    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key")
-    line = table(spark, d, "lineitem").filter("l_partkey < 400").groupBy(key, F.col("l_orderkey").alias("id")).agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_quantity").alias("q"))
-    verified = (F.col("f") == "A").alias("verified")
-    old = line.filter("q <= 40").select("key", "id", F.when(F.col("s") == "O", "event_detail").otherwise("search").alias("url_kind"), F.lit("available").alias("inventory"), verified, F.when(F.col("f") == "N", "unknown").otherwise(F.col("f")).alias("flag"))
-    new = line.filter("q >= 10").select("key", "id", F.when(F.col("q") > 20, "event_detail").otherwise("search").alias("url_kind"), F.when(F.col("f") == "R", "sold_out").otherwise("available").alias("inventory"), verified, F.col("f").alias("flag"))
-    before = old.select("id").distinct().withColumn("status", F.lit("on_sale"))
-    after = new.groupBy("id").agg(F.when(F.count_if(F.col("inventory") == "sold_out") > 0, "sold_out").otherwise("on_sale").alias("status"))
-    return control.publish_blockers(before, after, old, new, line.filter("q < 5").select("key"), ["flag"])
+    return guarded(table(spark, d, "lineitem").filter("l_partkey < 400"))
+
+
+@query("""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_orderkey AS id, min(l_returnflag) AS f, min(l_linestatus) AS s, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+b AS (SELECT key, id, CASE WHEN s = 'O' THEN 'event_detail' ELSE 'search' END AS url_kind, f = 'A' AS verified, CASE WHEN f = 'N' THEN 'unknown' ELSE f END AS flag FROM l WHERE q <= 40),
+a AS (SELECT key, id, CASE WHEN q > 20 THEN 'event_detail' ELSE 'search' END AS url_kind, CASE WHEN f = 'R' THEN 'sold_out' ELSE 'available' END AS inventory, f = 'A' AS verified, f AS flag FROM l WHERE q >= 10),
+eb AS (SELECT DISTINCT id, 'on_sale' AS status FROM b), ea AS (SELECT id, CASE WHEN count(*) FILTER (WHERE inventory = 'sold_out') > 0 THEN 'sold_out' ELSE 'on_sale' END AS status, count(*) FILTER (WHERE inventory = 'sold_out') AS n FROM a GROUP BY 1),
+gone AS (SELECT * FROM b WHERE key NOT IN (SELECT key FROM a))
+SELECT 'event_ids_changed' AS code, CAST(id AS VARCHAR) AS key FROM ea WHERE id NOT IN (SELECT id FROM eb) UNION ALL SELECT 'event_ids_changed', CAST(id AS VARCHAR) FROM eb WHERE id NOT IN (SELECT id FROM ea)
+UNION ALL SELECT 'valid_offer_removed_without_evidence', CAST(key AS VARCHAR) FROM gone WHERE verified AND key NOT IN (SELECT key FROM l WHERE q < 5)
+UNION ALL SELECT 'detail_url_downgraded', CAST(key AS VARCHAR) FROM gone WHERE url_kind = 'event_detail' AND id IN (SELECT id FROM a WHERE url_kind = 'search')
+UNION ALL SELECT 'single_offer_promoted_to_event_sold_out', CAST(id AS VARCHAR) FROM ea WHERE status = 'sold_out' AND n <= 1 AND id IN (SELECT id FROM eb)
+UNION ALL SELECT 'unverified_fields_became_known', CAST(a.key AS VARCHAR) FROM a JOIN b USING (key) WHERE b.flag = 'unknown' AND a.flag <> 'unknown' AND NOT a.verified""")
+def publish_guard_whole(spark, d):
+    """As publish_guard, over all lines."""
+    return guarded(table(spark, d, "lineitem"))
 
 
 @query("""WITH j AS (SELECT event_id AS seq, 'u' || event_id AS url, 'e' || user_id AS event_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'deferred' ELSE 'done' END AS status, ts AS next_check FROM events),

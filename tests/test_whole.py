@@ -33,3 +33,10 @@ def test_containment_whole(spark, tmp_path):
     docs = [(1, f"{'pad ' * 900}Here: {long}. End", "en", 4000), (2, "SO A SHORT ONE HERE, said", "de", 30), (3, "undestinyed", None, 11), (4, "stwo wordsmith", "fr", 14), (5, "two  words", "en", 10), (6, f"{long} a short one here", "en", 99), (7, None, None, 0)]
     d = tables(spark, tmp_path, benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string, lang string, n_chars long"))
     assert against_sql(spark, d, "containment_whole") == [(1, 1), (2, 2), (3, 3), (4, 4), (6, 1)]
+
+
+def test_publish_guard_whole(spark, tmp_path):
+    lines = [(1, 1, 399, "A", "O", 45.0), (2, 1, 400, "A", "O", 45.0), (3, 1, 19999, "R", "F", 30.0), (4, 1, 19999, "A", "O", 8.0), (4, 2, 19999, "N", "F", 15.0)]
+    d = tables(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string, l_quantity double"))
+    found = against_sql(spark, d, "publish_guard_whole")
+    assert {("event_ids_changed", "1"), ("event_ids_changed", "2"), ("single_offer_promoted_to_event_sold_out", "3"), ("detail_url_downgraded", "41"), ("valid_offer_removed_without_evidence", "41"), ("unverified_fields_became_known", "42")} == set(found)
