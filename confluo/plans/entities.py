@@ -63,6 +63,22 @@ def bigram_similarity(spark, d):
     return met.filter("similarity >= 0.4").select(F.col("a_p_partkey").alias("a_partkey"), F.col("b_p_partkey").alias("b_partkey"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("""WITH n AS (SELECT p_partkey, p_brand, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS s FROM part), g AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(s) - 1, 1) + 1), lambda i: substr(s, i, 2))) AS b FROM n)
+SELECT a.p_partkey AS a_partkey, c.p_partkey AS b_partkey, round(CASE WHEN a.s = '' OR c.s = '' THEN 0.0 WHEN a.s = c.s THEN 1.0 ELSE len(list_intersect(a.b, c.b)) / len(list_distinct(list_concat(a.b, c.b))) END, 6) AS similarity FROM g a JOIN g c ON a.p_brand = c.p_brand AND a.p_partkey < c.p_partkey
+WHERE CASE WHEN a.s = '' OR c.s = '' THEN 0.0 WHEN a.s = c.s THEN 1.0 ELSE len(list_intersect(a.b, c.b)) / len(list_distinct(list_concat(a.b, c.b))) END >= 0.4""")
+def bigram_whole(spark, d):
+    """As bigram_similarity, over parts of every size: names that share a rare pair of characters are compared once, and
+    the parts of alike or equal names are attached to them."""
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", text.normalize_name(F.col("p_name"), compatible=False).alias("s"))
+    rows = rows.filter("s <> ''")
+    met = pairs.jaccard_candidates(rows, ["p_brand"], "s", text.bigrams(F.col("s")), (2, 5)).withColumn("similarity", text.title_similarity(F.col("a_s"), F.col("b_s"))).filter("similarity >= 0.4")
+    a, b = (rows.select("p_brand", F.col("s").alias(f"{x}_s"), F.col("p_partkey").alias(f"{x}_key")) for x in "ab")
+    apart = met.join(a, ["p_brand", "a_s"]).join(b, ["p_brand", "b_s"]).filter("a_key <> b_key")
+    alike = apart.select(F.least("a_key", "b_key").alias("a_partkey"), F.greatest("a_key", "b_key").alias("b_partkey"), F.round("similarity", 6).alias("similarity"))
+    same = pairs.bucket_pairs(rows, ["p_brand", "s"], "p_partkey")
+    return alike.unionByName(same.select(F.col("a_p_partkey").alias("a_partkey"), F.col("b_p_partkey").alias("b_partkey"), F.lit(1.0).alias("similarity")))
+
+
 @query("""WITH n AS (SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS s FROM part), q(x) AS (VALUES ('smallring'), ('redwidget'), ('ring'), ('zzz')),
 p AS (SELECT x, s, list_distinct(string_split(x, '')) AS cx, list_distinct(string_split(s, '')) AS cs FROM q, n)
 SELECT x AS query, s AS name, round(CASE WHEN x = s THEN 1.0 WHEN contains(x, s) OR contains(s, x) THEN least(len(x), len(s)) / greatest(len(x), len(s)) ELSE len(list_intersect(cx, cs)) / greatest(len(cx), len(cs), 1) END, 6) AS score FROM p""")

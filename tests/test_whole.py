@@ -40,3 +40,11 @@ def test_publish_guard_whole(spark, tmp_path):
     d = tables(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string, l_quantity double"))
     found = against_sql(spark, d, "publish_guard_whole")
     assert {("event_ids_changed", "1"), ("event_ids_changed", "2"), ("single_offer_promoted_to_event_sold_out", "3"), ("detail_url_downgraded", "41"), ("valid_offer_removed_without_evidence", "41"), ("unverified_fields_became_known", "42")} == set(found)
+
+
+def test_bigram_whole(spark, tmp_path):
+    parts = [(1, "small ring", "b", 11), (2, "small rings", "b", 50), (3, "Small-Ring", "b", 3), (4, "small ring", "c", 11), (5, "zzz", "b", 11), (6, "", "b", 11), (7, "", "b", 12), (8, None, "b", 1), (9, "small ring", None, 1), (10, "small bolt", "b", 20)]
+    parts += [(100 + i, f"{'abcde'[i % 5]}{'fghij'[i // 5]}klm{'nop'[i % 3]}", "d", i) for i in range(25)]
+    d = tables(spark, tmp_path, part=(parts, "p_partkey long, p_name string, p_brand string, p_size int"))
+    found = against_sql(spark, d, "bigram_whole")
+    assert {(1, 2), (1, 3), (2, 3)} <= {x[:2] for x in found} and not {x for x in found if {4, 5, 6, 7, 8, 9} & set(x[:2])}
