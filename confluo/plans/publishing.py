@@ -77,23 +77,45 @@ def job_priority(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(priority.alias("priority"), reason.alias("reason"))
 
 
-@query("""WITH o AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 48), c AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 48),
-ci AS (SELECT id, min(fact) AS fact FROM c GROUP BY 1), cu AS (SELECT url, min(fact) AS fact FROM c GROUP BY 1) SELECT o.id, o.url, o.fact, coalesce(ci.fact, cu.fact) AS current_fact, coalesce(ci.fact, cu.fact) <> o.fact AS conflicts FROM o LEFT JOIN ci USING (id) LEFT JOIN cu ON o.url = cu.url WHERE coalesce(ci.fact, cu.fact) IS NOT NULL""")
-def observation_conflicts(spark, d):
+def conflicts_of(lines):
     """Observed facts against current ones, found by id, else by link."""
-    rows = table(spark, d, "lineitem").filter("l_quantity > 48").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("url"), F.col("l_returnflag").alias("fact"), "l_linestatus")
+    rows = lines.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("url"), F.col("l_returnflag").alias("fact"), "l_linestatus")
     seen, current = rows.filter("l_linestatus = 'O'").drop("l_linestatus"), rows.filter("l_linestatus = 'F'")
     joined = seen.join(current.groupBy("id").agg(F.min("fact").alias("by_id")), "id", "left").join(current.groupBy("url").agg(F.min("fact").alias("by_url")), "url", "left")
     out = joined.withColumn("current_fact", F.coalesce("by_id", "by_url")).filter("current_fact is not null")
     return out.select("id", "url", "fact", "current_fact", (F.col("current_fact") != F.col("fact")).alias("conflicts"))
 
 
+@query("""WITH o AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 48), c AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 48),
+ci AS (SELECT id, min(fact) AS fact FROM c GROUP BY 1), cu AS (SELECT url, min(fact) AS fact FROM c GROUP BY 1) SELECT o.id, o.url, o.fact, coalesce(ci.fact, cu.fact) AS current_fact, coalesce(ci.fact, cu.fact) <> o.fact AS conflicts FROM o LEFT JOIN ci USING (id) LEFT JOIN cu ON o.url = cu.url WHERE coalesce(ci.fact, cu.fact) IS NOT NULL""")
+def observation_conflicts(spark, d):
+    """Observed facts against current ones, found by id, else by link."""
+    return conflicts_of(table(spark, d, "lineitem").filter("l_quantity > 48"))
+
+
+@query("""WITH o AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'O'), c AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'F'),
+ci AS (SELECT id, min(fact) AS fact FROM c GROUP BY 1), cu AS (SELECT url, min(fact) AS fact FROM c GROUP BY 1) SELECT o.id, o.url, o.fact, coalesce(ci.fact, cu.fact) AS current_fact, coalesce(ci.fact, cu.fact) <> o.fact AS conflicts FROM o LEFT JOIN ci USING (id) LEFT JOIN cu ON o.url = cu.url WHERE coalesce(ci.fact, cu.fact) IS NOT NULL""")
+def observation_conflicts_whole(spark, d):
+    """As observation_conflicts, over all lines."""
+    return conflicts_of(table(spark, d, "lineitem"))
+
+
+def context_of(spark, d, orders):
+    rows = table(spark, d, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", "p_brand"))), lambda x: x["p_brand"])
+    return rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(names, ",").alias("brands"))
+
+
 @query("""SELECT o_orderkey, string_agg(p_brand, ',' ORDER BY l_linenumber, p_partkey) AS brands FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_totalprice > 450000 GROUP BY 1""")
 def event_context(spark, d):
     """Names attached as an ordered list."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").filter("o_totalprice > 450000").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", "p_brand"))), lambda x: x["p_brand"])
-    return rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(names, ",").alias("brands"))
+    return context_of(spark, d, table(spark, d, "orders").filter("o_totalprice > 450000"))
+
+
+@query("""SELECT o_orderkey, string_agg(p_brand, ',' ORDER BY l_linenumber, p_partkey) AS brands FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def event_context_whole(spark, d):
+    """As event_context, for orders of every price."""
+    return context_of(spark, d, table(spark, d, "orders"))
 
 
 @query("""WITH l(lead_id, txt) AS (VALUES (1, 'saw a small ring on sale'), (2, 'the red bolt, really red'), (3, 'nothing here')), s AS (SELECT lead_id, p_partkey, CASE WHEN contains(txt, p_name) THEN 5 ELSE 0 END + CASE WHEN contains(txt, split_part(p_name, ' ', 1)) THEN 2 ELSE 0 END + CASE WHEN contains(txt, split_part(p_name, ' ', 2)) THEN 2 ELSE 0 END AS score FROM l, part)

@@ -159,12 +159,8 @@ def band_join_dates(spark, d):
     return pairs.band_join(a, b, "o_custkey", "a_day", "b_day", 3).select("o_custkey", "planned", "other")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem WHERE l_quantity > 45), p AS (SELECT DISTINCT a.k AS o_orderkey, b.k AS related, o_orderdate FROM l a JOIN l b ON a.s = b.s AND a.k <> b.k JOIN orders ON o_orderkey = b.k AND o_orderdate >= TIMESTAMP '1998-07-01' WHERE a.k % 20 = 0)
-SELECT o_orderkey, related, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate, related) AS r FROM p) WHERE r <= 4""")
-def related_top4(spark, d):
-    """For every twentieth order, the four earliest future orders that share a supplier. A supplier's future orders meet in
-    date order, and only the first few of each can matter, so they are ranked before the join."""
-    lines = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).distinct()
+def related_of(spark, d, lineitem):
+    lines = lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).distinct()
     future = lines.join(table(spark, d, "orders").filter(F.col("o_orderdate") >= today()).select(F.col("o_orderkey").alias("k"), "o_orderdate"), "k")
     near = ranking.per_key(future, ["s"], [F.col("o_orderdate"), F.col("k")], 5).withColumnRenamed("k", "related")
     met = lines.filter("k % 20 = 0").join(near, "s").filter("k <> related").select(F.col("k").alias("o_orderkey"), "related", "o_orderdate").distinct()
@@ -172,6 +168,21 @@ def related_top4(spark, d):
     return met.withColumn("place", place).filter("place <= 4").select("o_orderkey", "related", "place")
 
 
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem WHERE l_quantity > 45), p AS (SELECT DISTINCT a.k AS o_orderkey, b.k AS related, o_orderdate FROM l a JOIN l b ON a.s = b.s AND a.k <> b.k JOIN orders ON o_orderkey = b.k AND o_orderdate >= TIMESTAMP '1998-07-01' WHERE a.k % 20 = 0)
+SELECT o_orderkey, related, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate, related) AS r FROM p) WHERE r <= 4""")
+def related_top4(spark, d):
+    """For every twentieth order, the four earliest future orders that share a supplier. A supplier's future orders meet in
+    date order, and only the first few of each can matter, so they are ranked before the join."""
+    return related_of(spark, d, table(spark, d, "lineitem").filter("l_quantity > 45"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), p AS (SELECT DISTINCT a.k AS o_orderkey, b.k AS related, o_orderdate FROM l a JOIN l b ON a.s = b.s AND a.k <> b.k JOIN orders ON o_orderkey = b.k AND o_orderdate >= TIMESTAMP '1998-07-01' WHERE a.k % 20 = 0)
+SELECT o_orderkey, related, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate, related) AS r FROM p) WHERE r <= 4""")
+def related_top4_whole(spark, d):
+    """As related_top4, through lines of every quantity."""
+    return related_of(spark, d, table(spark, d, "lineitem"))
+
+
 @query("""SELECT a.event_id AS a_event_id, b.event_id AS b_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) AND a.event_id < b.event_id WHERE a.event_type = b.event_type AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 900000000""")
 def same_slot_pairs(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("slot"), "event_type", "ts")

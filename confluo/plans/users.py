@@ -90,9 +90,19 @@ def picker_topk(spark, d):
     return ranking.top(rows, [F.col("pop").desc(), F.col("c_custkey")], 12).select("c_custkey", "c_name")
 
 
+def by_price(spark, d, since):
+    price = table(spark, d, "lineitem").filter("l_returnflag = 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_extendedprice").alias("price"))
+    rows = table(spark, d, "orders").filter(F.col("o_orderdate") >= F.lit(since).cast("timestamp")).join(price, "o_orderkey", "left")
+    return ranking.top(rows, [F.col("price").asc_nulls_last(), F.col("o_orderdate"), F.col("o_orderkey")], 50).select("o_orderkey", day("o_orderdate").alias("order_day"), "price")
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day, min(l_extendedprice) AS price FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'N' WHERE o_orderdate >= TIMESTAMP '2001-06-01' GROUP BY o_orderkey, o_orderdate ORDER BY min(l_extendedprice) NULLS LAST, o_orderdate, o_orderkey LIMIT 50""")
 def price_order_topk(spark, d):
     """Sorted by price, missing ones last, then date, then id."""
-    price = table(spark, d, "lineitem").filter("l_returnflag = 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_extendedprice").alias("price"))
-    rows = table(spark, d, "orders").filter(F.col("o_orderdate") >= F.lit("2001-06-01").cast("timestamp")).join(price, "o_orderkey", "left")
-    return ranking.top(rows, [F.col("price").asc_nulls_last(), F.col("o_orderdate"), F.col("o_orderkey")], 50).select("o_orderkey", day("o_orderdate").alias("order_day"), "price")
+    return by_price(spark, d, "2001-06-01")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day, min(l_extendedprice) AS price FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'N' WHERE o_orderdate >= TIMESTAMP '1998-07-01' GROUP BY o_orderkey, o_orderdate ORDER BY min(l_extendedprice) NULLS LAST, o_orderdate, o_orderkey LIMIT 50""")
+def price_order_topk_whole(spark, d):
+    """As price_order_topk, over all orders since the day of the other queries."""
+    return by_price(spark, d, TODAY)
\ No newline at end of file

@@ -48,3 +48,15 @@ def test_bigram_whole(spark, tmp_path):
     d = tables(spark, tmp_path, part=(parts, "p_partkey long, p_name string, p_brand string, p_size int"))
     found = against_sql(spark, d, "bigram_whole")
     assert {(1, 2), (1, 3), (2, 3)} <= {x[:2] for x in found} and not {x for x in found if {4, 5, 6, 7, 8, 9} & set(x[:2])}
+
+
+def test_thresholds_whole(spark, tmp_path):
+    day = lambda y, m: datetime(y, m, 1)
+    orders = [(20, 10.0, day(1997, 1)), (21, 20.0, day(1998, 8)), (22, 30.0, day(1999, 1)), (23, 40.0, day(1998, 6)), (24, 460000.0, day(2001, 7))]
+    lines = [(20, 1, 1, 7, "N", "O", 1.0, 5.0), (20, 1, 1, 7, "A", "F", 1.0, 5.0), (21, 1, 1, 7, "N", "O", 50.0, 9.0), (22, 2, 2, 7, "N", "O", 3.0, 4.0), (23, 1, 2, 7, "N", "F", 3.0, 1.0), (24, 1, 3, 8, "R", "O", 49.0, 2.0)]
+    parts = [(1, "b1"), (2, "b2"), (3, "b3")]
+    d = tables(spark, tmp_path, orders=(orders, "o_orderkey long, o_totalprice double, o_orderdate timestamp_ntz"), part=(parts, "p_partkey long, p_brand string"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double"))
+    assert against_sql(spark, d, "observation_conflicts_whole") == [(2001, 1, "N", "A", True), (2101, 1, "N", "A", True), (2202, 2, "N", "N", False)]
+    assert against_sql(spark, d, "event_context_whole") == [(20, "b1,b1"), (21, "b1"), (22, "b2"), (23, "b2"), (24, "b3")]
+    assert against_sql(spark, d, "related_top4_whole") == [(20, 21, 1), (20, 22, 2)]
+    assert against_sql(spark, d, "price_order_topk_whole") == [(21, "1998-08-01", 9.0), (22, "1999-01-01", 4.0), (24, "2001-07-01", None)]
