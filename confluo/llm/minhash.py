@@ -228,9 +228,14 @@ def near_duplicates(docs: DataFrame, threshold: float = LEAST, id_col: str = "do
     meet = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     postings = stash(postings.join(stash(meet, "meet"), "key"), "postings")
     wanted = stash(postings.select("node").distinct().join(sets.select("node", "first_id"), "node"), "wanted")
-    wanted = hinted(wanted, wanted.count(), FEW)  # two numbers a row; else all texts are shuffled to meet them
-    texts = columns(docs, [id_col, text_col]).toDF("first_id", "text").join(wanted, "first_id").select("node", "text")
-    texts = stash(texts.mapInArrow(own_text_batches, "node long, text string"), "texts")
+    n_wanted, n_nameless = wanted.agg(F.count("*"), F.count_if(F.col("first_id").isNull())).first()
+    own, nameless = columns(docs, [id_col, text_col]).toDF("first_id", "text"), wanted.filter("first_id is null").select("node")
+    wanted = hinted(wanted, n_wanted, FEW)  # two numbers a row; else all texts are shuffled to meet them
+    texts = own.join(wanted, "first_id").select("node", "text").mapInArrow(own_text_batches, "node long, text string")
+    if n_nameless:  # no id leads to these sets, so their texts are named anew; of copies, one
+        named = own.filter("first_id is null").select("text").mapInArrow(named_text_batches, "node long, text string")
+        texts = texts.unionByName(named.join(hinted(nameless, n_nameless, FEW), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    texts = stash(texts, "texts")
     labels = linked(postings, sets, texts, threshold)
     named = labels.join(sets.select("node", "first_id"), "node")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -246,3 +251,10 @@ def own_text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for x in batches:
         same = [len(s) > 0 and set_key(s) == k for s, k in zip(shingle_sets(x.column("text")), x.column("node").to_pylist(), strict=True)]
         yield x.filter(pa.array(same, pa.bool_()))
+
+
+def named_text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that have a set, with its name."""
+    for x in batches:
+        nodes = pa.array([set_key(s) if len(s) else None for s in shingle_sets(x.column("text"))], pa.int64())
+        yield pa.RecordBatch.from_arrays([nodes, x.column("text")], ["node", "text"]).filter(nodes.is_valid())
