@@ -79,17 +79,38 @@ def match_score(same_date, venue, same_time, artist, title):
     return F.round(F.when(same_date, 0.35).otherwise(0.0) + F.when(venue >= 0.75, 0.3).otherwise(0.0) + F.when(same_time, 0.15).otherwise(0.0) + F.when(artist >= 0.75, 0.15).otherwise(0.0) + F.when(title >= 0.6, 0.05).otherwise(0.0), 6)
 
 
+def similar_venues(observations: DataFrame, events: DataFrame) -> DataFrame:
+    """venue_name, other_venue: names of observations and unequal ones of events with an overlap of 0.75 or more, each
+    pair once. Of such names one shares a character among the first of its sorted ones (all but three quarters, and one)
+    with the other."""
+
+    def chars(df: DataFrame, name: str, part: bool) -> DataFrame:
+        own = F.array_distinct(F.split(name, ""))
+        n = F.size(own) - F.ceil(F.size(own) * 0.75).cast("int") + 1
+        return df.select(name, F.explode(F.slice(F.sort_array(own, False), F.lit(1), n) if part else own).alias("_c"))
+
+    one = observations.select("venue_name").filter("venue_name <> ''").distinct()
+    two = events.select(F.col("venue_name").alias("other_venue")).filter("other_venue <> ''").distinct()
+    met = chars(one, "venue_name", True).join(chars(two, "other_venue", False), "_c").unionByName(chars(one, "venue_name", False).join(chars(two, "other_venue", True), "_c"))
+    met = met.select("venue_name", "other_venue").filter("venue_name <> other_venue").distinct()
+    return met.filter(text.overlap_score(F.col("venue_name"), F.col("other_venue")) >= 0.75)
+
+
 def match_observations(observations: DataFrame, events: DataFrame) -> DataFrame:
     """Per observation: event_id, level, reason, score.
 
     observations: obs_id, date, venue_name, start_time, title, artist_names; events: the same with id. All names
     normalised. One event of the same date and venue is confirmed; of several, one with the same time. Else the best
-    score of 0.45 or more is probable. Only a shared date, or venue, artist and more, reaches 0.45, so candidates come
-    from equi joins on the date, and on exact venue names for the rest (0.3 + 0.15 + ...): no pair is scored twice.
+    score of 0.45 or more is probable. Only a shared date, or a venue and time or artist, reaches 0.45, so candidates come
+    from equi joins on the date, and for the rest on equal venue names and on similar ones, matched once a pair of names:
+    no pair is scored twice.
     """
     o, e = observations.alias("o"), events.alias("e")
     dated = o.join(e, F.col("o.date") == F.col("e.date"))
-    other = o.join(e, (F.col("o.venue_name") == F.col("e.venue_name")) & ~F.col("o.date").eqNullSafe(F.col("e.date")))
+    apart = ~F.coalesce(F.col("o.date") == F.col("e.date"), F.lit(False))
+    other = o.join(e, (F.col("o.venue_name") == F.col("e.venue_name")) & apart)
+    names = similar_venues(observations, events).alias("v")
+    near = o.join(names, F.col("o.venue_name") == F.col("v.venue_name")).join(e, (F.col("v.other_venue") == F.col("e.venue_name")) & apart)
     best_artist = F.coalesce(F.array_max(F.flatten(F.transform("o.artist_names", lambda x: F.transform(F.col("e.artist_names"), lambda y: text.overlap_score(x, y))))), F.lit(0.0))
 
     def scored(joined: DataFrame) -> DataFrame:
@@ -98,7 +119,7 @@ def match_observations(observations: DataFrame, events: DataFrame) -> DataFrame:
         same = F.coalesce((F.col("o.date") == F.col("e.date")) & (venue >= 0.75), F.lit(False))
         return joined.select("o.obs_id", F.col("e.id").alias("event_id"), score.alias("score"), same.alias("same"), F.coalesce(same & (F.col("o.start_time") == F.col("e.start_time")), F.lit(False)).alias("timed"))
 
-    both = scored(dated).unionByName(scored(other))
+    both = scored(dated).unionByName(scored(other)).unionByName(scored(near))
     found = both.groupBy("obs_id").agg(
         F.count_if("same").alias("n_same"), F.count_if("timed").alias("n_timed"), F.max(F.when(F.col("same"), F.struct("event_id", "score"))).alias("one"), F.max(F.when(F.col("timed"), F.struct("event_id", "score"))).alias("exact"),
         F.max_by(F.struct("event_id", "score"), F.struct(F.col("score"), F.col("event_id"))).alias("best"),
