@@ -3,8 +3,8 @@
 Candidate segments come from cheap scans: the base patterns (whose valid matches always stay) and long runs of key
 characters. A candidate and a type are scored as a whole: its length, mix of characters, checks of its type and the
 words before it; neighbouring entities add a weight for their pair of types. Text outside of candidates scores nothing,
-so the sum over segmentations runs over candidates alone: for each end, over every candidate that ends there (at most
-`MAX_SPAN` long) and what lies left of its start. Weights are learned by gradient ascent on the log-likelihood of
+so the sum over segmentations runs over candidates alone: for each end, over every candidate that ends there (key
+runs of any length, other spans of at most `MAX_SPAN`) and what lies left of its start. Weights are learned by gradient ascent on the log-likelihood of
 synthetic lines, seeded, at first use.
 """
 
@@ -26,7 +26,7 @@ from .shared import columns, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 TYPES = (*BASE, "secret")
-MAX_SPAN, NEAR = 256, 40  # characters of an added span; characters between neighbours
+MAX_SPAN, NEAR = 256, 40  # characters of a base span that is scored; characters between neighbours
 
 #: Fixed patterns. Digits are those of ASCII.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,7 +81,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """Segments that the model scores, by end, then start."""
     found = {(a, b) for _, a, b in base_spans(text) if b - a <= MAX_SPAN}
     if DIGIT.search(text):
-        found |= {m.span() for m in KEY.finditer(text) if m.end() - m.start() <= MAX_SPAN and DIGIT.search(m.group())}
+        found |= {m.span() for m in KEY.finditer(text) if DIGIT.search(m.group())}
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
@@ -234,7 +234,7 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
     order = {k: i for i, k in enumerate(TYPES)}
     base = sorted(base_spans(text), key=lambda x: (x[1], order[x[0]]))
     found = candidates(text)
-    if len(found) <= len({(a, b) for _, a, b in base}):
+    if not set(found) - {(a, b) for _, a, b in base}:
         return base, base
     taken = np.zeros(0, np.int64)
     if base:
