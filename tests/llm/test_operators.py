@@ -325,9 +325,11 @@ def test_personal_data_model():
     assert kinds == {"email", "secret"}
     assert pii.redacted(text) == 'The api_key = "[SECRET]" of mr [EMAIL] and a well-known-word-2020 here'
     m = pii.model()
-    spans = pii.candidates(text)
-    marginals, _ = m.expect(spans, [pii.features(text, *s) for s in spans])
-    assert np.all(marginals >= -1e-9) and np.all(marginals.sum(axis=1) <= 1 + 1e-9)
+    pinned = [pii.regions(pii.by_place(pii.base_spans(text)))]
+    segments = pii.Segments([text], pinned)
+    for _, _, chain in m.chains(segments, pinned, m.scores(segments)):
+        marginals, _, _ = chain.expect()
+        assert np.all(marginals >= -1e-9) and np.all(marginals.sum(axis=1) <= 1 + 1e-9)
 
 
 def test_redact(docs):
