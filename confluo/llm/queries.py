@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gam, hosts, langid, minhash, mixing, multiset, packing, pii, tokens, warc
-from .shared import columns, scratch, table
+from .shared import columns, scratch, small_batches, table
 
 #: The largest number of tokens that counts as within the limit.
 TOKEN_LIMIT = 4096
@@ -36,14 +37,15 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are measured by the payload that is read back; revisits have none, so theirs is what their headers say. Either
+    kind is read by a scan that skips the other's records."""
     path = scratch(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), path)
-    back = warc.read_archive(spark, path)
-    page = F.regexp_extract("refers_to", "^<urn:page:(-?[0-9]+)>$", 1)
-    return back.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
-        F.when(F.col("record_type") == "revisit", page.cast("long")).alias("refers_to"),
-    )
+    full, bare = warc.read_archive(spark, path).filter("record_type = 'response'"), warc.read_archive(spark, path, payloads=False).filter("record_type = 'revisit'")
+    page, to = F.col("page_id").try_cast("long").alias("page_id"), F.regexp_extract("refers_to", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    responses = full.select(page, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    revisits = bare.select(page, F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", to.alias("refers_to"))
+    return responses.unionByName(revisits)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +79,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Each with the session's Arrow batches bounded, as texts may be long."""
+
+    def with_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return query(spark, sf_dir)
+
+        return run
+
     own = (op1_token_counts, op2_mixing, op3_near_duplicates, op4_warc, op5_packing, op6_personal_data, op7_quality, op8_host_rules, op9_fingerprints, op10_language)
-    return {f.__name__: f for f in own}
+    return {f.__name__: with_small_batches(f) for f in own}
 
 
 OP2_SQL = r"""
