@@ -10,6 +10,7 @@ rank among pieces of the same length, in a join-free lookup.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,10 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import columns, small_batches, stash
+from .shared import bounded, columns, stash
 
 SALTS = 1024  # each length is ranked in so many parts
 
+#: How the tokenizer that units are sound for normalises texts, splits them, and marks the ends of words.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
 
 # ---- token ids ----------------------------------------------------------------------------------------------------
 
@@ -40,9 +46,10 @@ class WordEncoder:
     """Token ids by the tokenizers library, where units that stand between white space or change of character class are
     encoded once and remembered.
 
-    Sound as this tokenizer drops white space and splits its words by character class: letters, single numbers, the
-    rest. Texts with characters beyond Latin-1 (whose normal form could reach across), control characters, or special
-    strings go to the library whole. So do chunks with an apostrophe, as units of their own.
+    Sound for a tokenizer that drops white space and splits words by character class (letters, single numbers, the rest),
+    as NORMALIZER and SPLIT say; that is checked, and for another one every text goes to the library whole. So do texts
+    with characters beyond Latin-1 (whose normal form could reach across) or special strings. Chunks with an apostrophe
+    are units of their own.
     """
 
     def __init__(self, tokenizer_file: str, most: int = 400_000):
@@ -52,12 +59,20 @@ class WordEncoder:
         vocab = self.tk.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for x, i in vocab.items():
-            self.ends[i] = x.endswith("</w>")
+            self.ends[i] = x.endswith(WORD_END)
+        self.sound = self._is_sound()
         self.special = [x.content for x in self.tk.get_added_tokens_decoder().values()]
         self.kind = _classes()
         self.lower = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 and ord(chr(i).lower()) < 256 else i for i in range(256)], np.uint8)
         self.most, self.known, self.ids = most, {}, []
 
+    def _is_sound(self) -> bool:
+        own = json.loads(self.tk.to_str())
+        splits = (own["pre_tokenizer"] or {}).get("pretokenizers", [])
+        first = splits[0] if len(splits) == 2 and splits[1]["type"] == "ByteLevel" and not splits[1]["add_prefix_space"] else {}
+        split = first.get("pattern", {}).get("Regex") == SPLIT and first.get("behavior") == "Removed" and first.get("invert")
+        return bool(own["normalizer"] == NORMALIZER and split and own["model"]["type"] == "BPE" and own["model"]["end_of_word_suffix"] == WORD_END and not own["model"]["dropout"])
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tk.encode_batch(texts, add_special_tokens=False)]
 
@@ -78,6 +93,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.sound:
+            return self.whole(texts)
         out: list[np.ndarray | None] = [None] * len(texts)
         fast, parts = [], []
         for i, x in enumerate(texts):
@@ -140,13 +157,12 @@ def encoder(tokenizer_file: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """Pieces of at most `capacity` ids of each text followed by `end_id`: id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    small_batches(docs.sparkSession, 1000, 8 << 20)  # units that texts share are looked up once a batch
     own = columns(docs, [id_col, text_col])
     id_type = own.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_file)
-        for x in batches:
+        for x in bounded(batches, 1000, 8 << 20):  # units that texts share are looked up once a batch
             who, rows, ids = [], [], []
             for i, own in enumerate(e.encode(pc.fill_null(x.column(1).cast(pa.string()), "").to_pylist())):
                 own = np.append(own, np.uint32(end_id)).astype("<u4")
@@ -305,13 +321,14 @@ def places(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndar
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def ranked(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """`pieces` with rank: 0, 1, ... among those of the same length. A length is ranked in SALTS parts, side by side."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+def ranked(pieces: DataFrame, row: str) -> DataFrame:
+    """`pieces` with rank: 0, 1, ... among those of the same length. A length is ranked in SALTS parts, side by side, into
+    which rows are dealt by their number `row`, so copies and rows of one id or none are dealt as evenly as others."""
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(SALTS)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys)) - 1
+    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(row)) - 1
     return salted.withColumn("_own", own).join(counts, ["length", "_salt"]).withColumn("rank", F.col("_before") + F.col("_own")).drop("_salt", "_own", "_before")
 
 
@@ -323,11 +340,13 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
     columns are ignored, whatever their names. What reaches the driver is a histogram of at most `capacity` lengths.
     """
     spark = docs.sparkSession
-    pieces = stash(token_pieces(docs, tokenizer_file, capacity, end_id, id_col, text_col, with_ids), "pieces")
+    found = token_pieces(columns(docs, [id_col, text_col]).toDF("doc", "text"), tokenizer_file, capacity, end_id, "doc", "text", with_ids)
+    numbered = stash(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = numbered.drop("row")
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").agg(F.count("*")).collect()}
     table = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
     names = pieces.columns
-    rows = ranked(pieces, [id_col, "piece", "ids_crc32"]).select(*[F.col(f"`{c}`") for c in names], "rank")
+    rows = ranked(numbered, "row").select(*names, "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -343,4 +362,5 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
                     offset[own] = t[:, 3] + nth % t[:, 2] * length[own]
             yield pa.RecordBatch.from_arrays([*[x.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+    out = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+    return out.withColumnRenamed("doc", id_col)
