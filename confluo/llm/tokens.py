@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import columns, small_batches
+from .shared import bounded, columns
 
 SPACE_SIGN = "▁"  # how the vocabulary writes a space
 
@@ -44,9 +44,14 @@ class PieceCounter:
         leads = (np.frombuffer(part.encode(), np.uint8) & 0xC0) != 0x80
         return np.append(np.cumsum(leads) - 1, len(part))[at] + begin
 
+    def as_written(self, text: str) -> bool:
+        """The normaliser leaves the text as it is, but for signs in place of spaces (and one before the text)."""
+        written = text.replace(" ", SPACE_SIGN)
+        return self.sp.normalize(text) in (written, SPACE_SIGN + written)
+
     def count(self, text: str) -> int:
         n = len(text)
-        if n <= self.chunk + self.overlap:
+        if n <= self.chunk + self.overlap or not self.as_written(text):
             return len(self.sp.encode(text, num_threads=1))
         overlap, begin, cut, total = self.overlap, 0, 0, 0
         end = min(n, self.chunk + overlap)
@@ -88,13 +93,12 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     A null or empty text has 0 bytes and 0 tokens. Repeated rows and null ids are kept, a row each. An empty table
     gives an empty result. Other columns are ignored, whatever their names. Texts of any length are counted whole.
     """
-    small_batches(docs.sparkSession)
     own = columns(docs, [id_col, text_col])
     id_type = own.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_file, chunk_chars, overlap)
-        for x in batches:
+        for x in bounded(batches):
             text = pc.fill_null(x.column(1).cast(pa.string()), "")
             n_bytes = pc.binary_length(text).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([x.column(0), n_bytes, pa.array(c.counts(text.to_pylist()), pa.int64())], [id_col, "n_bytes", "n_tokens"])
