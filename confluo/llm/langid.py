@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, remainder_of_id, small_batches
+from .shared import bounded, columns, remainder_of_id
 from .words import batch_words, mix64, text_bytes
 
 BUCKETS = 1 << 16
@@ -174,60 +174,80 @@ def forward_backward(p: np.ndarray, docs: np.ndarray, t: np.ndarray) -> np.ndarr
 # ---- learning -----------------------------------------------------------------------------------------------------
 
 
-def sequences(words: list[list[str]], labels: np.ndarray, n_labels: int, rng: np.random.Generator, n: int, length: int) -> tuple[list[str], np.ndarray]:
+@dataclass
+class Sample:
+    """Words of whole texts as codes: one array for all texts, n + 1 places where each text's words start, and labels."""
+
+    codes: np.ndarray
+    values: pa.Array  #: the word of each code
+    docs: np.ndarray
+    labels: list[str]
+
+    @classmethod
+    def of(cls, text: pa.Array, labels: list[str]) -> Sample:
+        w = batch_words(text)
+        values = normal_words(w.values).dictionary_encode()  # words that differ in case or edges alone become one
+        codes = values.indices.to_numpy(zero_copy_only=False)[w.codes] if len(w.codes) else np.zeros(0, np.int32)
+        full = (pc.binary_length(values.dictionary).to_numpy(zero_copy_only=False) > 0)[codes] if len(codes) else np.zeros(0, bool)
+        docs = np.concatenate([[0], np.cumsum(full)])[w.docs]
+        some = np.flatnonzero(np.diff(docs))
+        return cls(codes[full], values.dictionary, np.append(docs[some], len(codes[full])), [labels[i] for i in some])
+
+
+def sequences(s: Sample, labels: np.ndarray, n_labels: int, rng: np.random.Generator, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """n sequences of `length` words: spans of documents, half of the sequences switching between languages."""
     by = [np.flatnonzero(labels == i) for i in range(n_labels)]
+    size = np.diff(s.docs)
     out, gold = [], []
     for _ in range(n):
-        own, who = [], []
+        have = 0
         switch, lab = rng.random() < 0.5, int(rng.integers(n_labels))
-        while len(own) < length:
-            doc = words[int(rng.choice(by[lab]))]
-            want = min(length - len(own), int(rng.integers(4, 25)) if switch else length)
-            a = int(rng.integers(max(1, len(doc) - want + 1)))
-            part = doc[a : a + want]
-            own += part
-            who += [lab] * len(part)
+        while have < length:
+            doc = int(rng.choice(by[lab]))
+            want = min(length - have, int(rng.integers(4, 25)) if switch else length, int(size[doc]))
+            a = int(s.docs[doc]) + int(rng.integers(int(size[doc]) - want + 1))
+            out.append(s.codes[a : a + want])
+            gold += [lab] * want
+            have += want
             if switch:
                 lab = int(rng.integers(n_labels))
-        out += own
-        gold += who
-    return out, np.array(gold)
+    return np.concatenate(out), np.array(gold)
 
 
-def train(words: list[list[str]], labels: list[str], seed: int = 7, batches: int = 160, n: int = 48, length: int = 40, rate: float = 0.25, decay: float = 1e-5) -> Model:
+def train(sample: Sample, seed: int = 7, batches: int = 160, n: int = 48, length: int = 40, rate: float = 0.25, decay: float = 1e-5) -> Model:
     """Gradient ascent (adaptive steps) on the log-likelihood of spans, of which half switch between languages."""
-    names = sorted(set(labels))
+    names = sorted(set(sample.labels))
     m = Model(names)
     k = len(names)
     m.weights, m.lexicon_weights, m.transitions = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32), np.zeros((k, k))
     if not k:
         return m
-    of = np.array([names.index(x) for x in labels])
-    seen: dict[str, np.ndarray] = {}
-    for doc, i in zip(words, of, strict=True):
-        for x in doc:
-            seen.setdefault(x, np.zeros(k, np.int64))[i] += 1
-    lexicon = sorted(x for x, c in seen.items() if c.sum() >= 5 and c.max() >= 0.6 * c.sum())
-    m.lexicon, m.lexicon_of = pa.array(lexicon, pa.string()), np.array([int(seen[x].argmax()) for x in lexicon], np.int64)
+    of = np.array([names.index(x) for x in sample.labels])
+    n_values = len(sample.values)
+    seen = np.stack([np.bincount(sample.codes[np.repeat(of == i, np.diff(sample.docs))], minlength=n_values) for i in range(k)], axis=1)
+    total = seen.sum(axis=1)
+    known = np.flatnonzero((total >= 5) & (seen.max(axis=1) >= 0.6 * total))
+    words = sample.values.take(pa.array(known))
+    order = pc.sort_indices(words).to_numpy(zero_copy_only=False)
+    m.lexicon, m.lexicon_of = words.take(pa.array(order)), seen[known].argmax(axis=1)[order].astype(np.int64)
     rng = np.random.default_rng(seed)
     squares = [np.full_like(x, 1e-6) for x in (m.weights, m.lexicon_weights, m.transitions)]
     docs = np.arange(0, n * length + 1, length)
     for _ in range(batches):
-        flat, gold = sequences(words, of, k, rng, n, length)
-        coded = pa.array(flat, pa.string()).dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        scores = m.emissions(coded.dictionary)[codes]
+        flat, gold = sequences(sample, of, k, rng, n, length)
+        used, codes = np.unique(flat, return_inverse=True)
+        own = sample.values.take(pa.array(used))
+        scores = m.emissions(own)[codes]
         p, t = np.exp(scores - scores.max(axis=1, keepdims=True)), np.exp(m.transitions).astype(np.float32)
         marginals = forward_backward(p, docs, t)
         slope = np.eye(k)[gold] - marginals
-        by_word = np.column_stack([np.bincount(codes, slope[:, i], len(coded.dictionary)) for i in range(k)])
-        bucket, places = gram_features(coded.dictionary)
+        by_word = np.column_stack([np.bincount(codes, slope[:, i], len(own)) for i in range(k)])
+        bucket, places = gram_features(own)
         spread = np.repeat(by_word, np.diff(places), axis=0)
-        known = pc.index_in(coded.dictionary, m.lexicon).fill_null(-1).to_numpy(zero_copy_only=False)
-        hit = np.flatnonzero(known >= 0)
+        found = pc.index_in(own, m.lexicon).fill_null(-1).to_numpy(zero_copy_only=False)
+        hit = np.flatnonzero(found >= 0)
         lex = np.zeros((k, k))
-        np.add.at(lex, m.lexicon_of[known[hit]], by_word[hit])
+        np.add.at(lex, m.lexicon_of[found[hit]], by_word[hit])
         pairs = pair_slope(p.reshape(n, length, k), gold.reshape(n, length), t)
         steps = [np.column_stack([np.bincount(bucket, spread[:, i], BUCKETS) for i in range(k)]), lex, pairs]
         for x, g, s in zip((m.weights, m.lexicon_weights, m.transitions), steps, squares, strict=True):
@@ -257,45 +277,31 @@ def pair_slope(p: np.ndarray, gold: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, per_language: int = 400, span: int = 150, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows that are not held out and have a language and an id: of each language about `per_language`, picked by
-    hash of the id and text, and of each a span of at most `span` words at a place picked by hash. That bounds what the
-    driver holds. Other columns are ignored, whatever their names. Without such rows the model knows no language."""
-    small_batches(docs.sparkSession)
+    hash of the id and text, each with its whole text. That number of rows bounds what the driver holds. Other columns
+    are ignored, whatever their names. Without such rows the model knows no language."""
     own = columns(docs, [id_col, text_col, lang_col]).toDF("id", "text", "lang").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
     counts = {r[0]: r[1] for r in own.groupBy("lang").agg(F.count("*")).collect()}  # a row for each language
     if not counts:
         return Model([])
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1_000_000, -(-1_000_000 * per_language // n)))]), F.col("lang"))
     sample = own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = batch_words(b.column("text"))
-            values = np.array(normal_words(w.values).to_pylist(), object)
-            out = []
-            for i in range(b.num_rows):
-                doc = [x for x in values[w.codes[w.docs[i] : w.docs[i + 1]]] if x]
-                a = 0 if len(doc) <= span else int(mix64(np.array([len(doc)], np.uint64))[0] % np.uint64(len(doc) - span))
-                out.append(doc[a : a + span])
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(out, pa.list_(pa.string()))], ["id", "lang", "words"])
-
-    kind = own.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"id {kind}, lang string, words array<string>").filter("size(words) > 0").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
-    return train(got.column("words").to_pylist(), got.column("lang").to_pylist())
+    got = sample.toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    return train(Sample.of(got.column("text"), got.column("lang").to_pylist()))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, lang_pred, score (the share of words expected in that language).
 
-    Texts that are null or have no letter are `und` with score 0, as are all where no language was learned. Repeated
+    Texts that are null or have no letter are `und` with score 0, as are all where no language was learned. Of languages
+    with equally many expected words the first by name is taken. Repeated
     rows and null ids are kept; an empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     own = columns(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             names, share = model.predict(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(share)], [id_col, "lang_pred", "score"])
 
