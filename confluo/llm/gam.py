@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, hinted, remainder_of_id, small_batches
+from .shared import bounded, columns, hinted, remainder_of_id
 from .words import SPACE, batch_words
 
 FEATURES = (
@@ -236,7 +236,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
     """Learn from labelled rows that are not held out, or a sample of them by hash of about `max_rows`, the bound on what
     the driver holds. Rows without an id or label teach nothing; of documents that share an id, one teaches; repeated
     labels of an id count by their mean. Other columns are ignored, whatever their names."""
-    small_batches(docs.sparkSession)
     known = columns(labels, [id_col, label_col]).toDF("id", "label").filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id"))
     known = known.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     n = known.count()
@@ -245,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
     sample = columns(docs, [id_col, text_col]).toDF("id", "text").join(hinted(known, min(n, max_rows)), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             x = text_features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "x"])
 
@@ -259,11 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, score (0 to 1), predicted (1 if score >= 0.5, else 0). A null or empty text gets the score of zeros.
     Repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored."""
-    small_batches(docs.sparkSession)
     own = columns(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             s = model.scores(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
@@ -271,11 +269,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that the model does not reject."""
-    small_batches(docs.sparkSession)
+    """The rows of `docs`, all columns, that the model does not reject: those of a score of 0.5 or more. Null and empty
+    texts are judged by the score of zeros; repeated rows are kept or go alike; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             yield b.filter(pa.array(model.scores(b.column(b.schema.get_field_index(text_col))) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gam import code_groups, line_codes, spans_sum
-from .shared import columns, hinted, small_batches, stash
+from .shared import bounded, columns, hinted, stash
 from .words import SPACE, batch_words
 
 LEAST_WORDS, WORST_RATE = 50, 0.5
@@ -59,11 +59,10 @@ def measure(text: pa.Array) -> list[np.ndarray]:
 def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row: id, host, MEASURES, base_failed (either base rule) and failed (that, or more than a symbol or a repeated line
     for ten words, or words of fewer than 3 or more than 12 characters on average)."""
-    small_batches(docs.sparkSession)
     own = columns(docs, [id_col, host_col, text_col]).toDF(id_col, "_host", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, measure(b.column(2)))], [id_col, "_host", *MEASURES])
 
     kinds = [f"`{id_col}` {own.schema[0].dataType.simpleString()}", f"_host {own.schema[1].dataType.simpleString()}", *[f"{m} long" for m in MEASURES]]
@@ -77,7 +76,7 @@ def host_rates(rows: DataFrame, worst_rate: float = WORST_RATE) -> DataFrame:
     """Per host: n, n_failed, shrunk_rate, refused. The prior's mean is the rate of all rows; its strength (between 1 and
     10,000) follows from the spread of the hosts' rates beyond that of chance. One host alone is its own prior."""
     per = rows.filter("_host is not null").groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    total = per.agg(F.sum("n").alias("all_n"), F.sum("n_failed").alias("all_failed"), F.count("*").alias("hosts"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n")).alias("squares"))
+    total = per.agg(F.sum("n").alias("all_n"), F.sum("n_failed").alias("all_failed"), F.count("*").alias("hosts"), F.sum(F.col("n_failed").cast("double") * F.col("n_failed") / F.col("n")).alias("squares"))
     mean = F.col("all_failed") / F.col("all_n")
     chance = mean * (1 - mean)
     spread = F.col("squares") / F.col("all_n") - mean * mean - chance * F.col("hosts") / F.col("all_n")
@@ -91,7 +90,8 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, MEASURES, base_failed, kept (neither failed nor of a refused host).
 
     Null and empty texts have no words and fail. Rows without a host are judged by the base rules alone. Repeated rows
-    and null ids are kept as rows of their own. An empty table gives an empty result. Other columns are ignored.
+    and null ids are kept as rows of their own. A host whose shrunk rate is `worst_rate` itself is not refused. An empty
+    table gives an empty result. Other columns are ignored, whatever their names; texts of any length are measured whole.
     """
     rows = stash(document_rules(docs, id_col, text_col, host_col), "host-rows")
     refused = stash(host_rates(rows, worst_rate).filter("refused").select("_host", "refused"), "refused-hosts")
