@@ -10,9 +10,12 @@ of two sketches estimates how many units two documents do not share, and from th
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .shared import columns, small_batches
+from .shared import bounded, columns
 
 EXACT, SKETCH = 8, 128
 WIDTH = 8 * EXACT + 4 + 2 * SKETCH  # bytes of a fingerprint
@@ -106,11 +109,10 @@ def likeness(a: Vectors, b: Vectors) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (hex). Null text: as empty. Repeated rows and null ids are kept; other columns are ignored."""
-    small_batches(docs.sparkSession)
     own = columns(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors(pc.fill_null(b.column(1).cast(pa.string()), "").to_pylist()).hex())], [id_col, "fingerprint"])
 
     return own.mapInArrow(run, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fingerprint string")
@@ -125,32 +127,79 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def descending(value):
+    """A value that sorts ascending as `value` sorts descending: numbers and dates negated, texts by code points."""
+    if isinstance(value, str):
+        return (*[-ord(c) for c in value], 1)
+    return -value if isinstance(value, (int, float)) else -value.toordinal() if hasattr(value, "toordinal") and not hasattr(value, "hour") else -value.timestamp()
+
+
+@dataclass
+class Cuts:
+    """Where the order of rows (falling id, null last; text) is cut: sorted keys of id, start of the text and a number in
+    [0, 1). Texts count only for ids that many rows share, numbers only for those of them whose texts are all the same."""
+
+    keys: list[tuple] = field(default_factory=list)
+    ids: np.ndarray | None = None  #: the ids of the keys, rising, where they alone decide and are numbers
+    hot: frozenset = frozenset()
+    same: frozenset = frozenset()
+
+    def key(self, value, start: str = "", number: float = 0.0) -> tuple:
+        crowded = value in self.hot
+        return (value is None, 0 if value is None else descending(value), start if crowded else "", number if crowded and (value, start) in self.same else 0.0)
+
+    def buckets(self, ids: pd.Series, starts: pd.Series, numbers: pd.Series) -> np.ndarray:
+        if self.ids is None:
+            return np.array([bisect.bisect_right(self.keys, self.key(None if pd.isna(i) else i, s, x)) for i, s, x in zip(ids.tolist(), starts, numbers, strict=True)], np.int32)
+        out = np.full(len(ids), len(self.keys), np.int32)
+        there = ids.notna().to_numpy()
+        out[there] = len(self.ids) - np.searchsorted(self.ids, ids[there].astype(self.ids.dtype).to_numpy(), side="left")
+        return out
+
+
+def find_cuts(rows: DataFrame, n: int, n_buckets: int, start_chars: int = 64, hits: int = 40) -> Cuts:
+    """Cuts by a sample of about 20 rows a bucket. Ids with `hits` of them are cut by the starts of their texts, and starts with
+    as many, if they are all of one text, into equal parts. rows: id, text."""
+    if n_buckets <= 1:
+        return Cuts(ids=np.zeros(0, np.int64))
+    share = min(1.0, 20 * n_buckets / n)
+    ids = [r[0] for r in rows.select("id").filter(F.rand(5) < share).collect()]
+    out = Cuts(hot=frozenset(i for i, k in Counter(ids).items() if k >= hits))
+    keys = [out.key(i) for i in ids if i not in out.hot]
+    if out.hot:
+        session, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+        crowded = F.broadcast(session.createDataFrame([(i,) for i in out.hot], f"hot {kind}"))
+        own = rows.withColumn("start", F.coalesce(F.substring("text", 1, start_chars), F.lit(""))).join(crowded, F.col("id").eqNullSafe(F.col("hot")), "left_semi")
+        found = Counter((r[0], r[1]) for r in own.filter(F.rand(6) < share).select("id", "start").collect())
+        often = [k for k, c in found.items() if c >= hits]
+        if often:
+            groups = F.broadcast(session.createDataFrame(often, f"hot {kind}, often string"))
+            texts = own.join(groups, F.col("id").eqNullSafe(F.col("hot")) & (F.col("start") == F.col("often"))).groupBy("hot", "often").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+            out.same = frozenset((r[0], r[1]) for r in texts.filter("a = b").collect())
+        keys += [out.key(i, s, k / c) for (i, s), c in found.items() for k in range(c)]
+    keys.sort()
+    out.keys = sorted(set(keys[:: max(1, len(keys) // n_buckets)]))
+    if not out.hot and not isinstance(ids[0] if ids else 0, str) and all(isinstance(i, int) for i in ids if i is not None):
+        out.ids = np.array(sorted(-k[1] for k in out.keys if not k[0]), np.int64)
+        out.keys = [k for k in out.keys if not k[0]]
+    return out
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_bucket: int) -> DataFrame:
-    """(bucket, extra, id, text): the rows by falling id in buckets, each followed by one `extra` row that opens the next
-    bucket (the last by that which opens the first). Ids are cut into ranges by a sample of them, taken by hash; what the
-    driver holds is about 20 ids for each bucket (100,000 at most), so its size follows the number of buckets."""
+    """(bucket, extra, id, text): the rows by falling id (and text) in buckets, each followed by `extra` rows that open the next
+    bucket (the last by those that open the first). The order is cut by a sample, so what the driver holds, about 20 ids
+    for each bucket (100,000 buckets at most), follows the number of buckets. Ids that many rows share, or many rows
+    without one, are cut by their texts, and copies of one text into equal parts."""
     own = columns(docs, [id_col, text_col]).toDF("id", "text")
     n = own.select("id").count()
-    n_buckets = max(1, min(100_000, n // rows_per_bucket))
-    edges: list = []
-    if n_buckets > 1:
-        share = min(1_000_000, -(-20_000_000 * n_buckets // n))
-        sample = own.select("id").filter(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))
-        found = sorted(r[0] for r in sample.collect())
-        edges = sorted(set(found[:: max(1, len(found) // n_buckets)]))
-    cuts = own.sparkSession.sparkContext.broadcast(np.array(edges))
-    last = len(edges) + 1
+    cuts = own.sparkSession.sparkContext.broadcast(find_cuts(own, n, max(1, min(100_000, n // rows_per_bucket))))
 
     @F.pandas_udf(IntegerType())
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        out = np.full(len(ids), last, np.int32)  # ids that are null come last
-        there = ids.notna().to_numpy()
-        if there.any():
-            own = ids[there].astype(cuts.value.dtype).to_numpy() if len(cuts.value) else ids[there]
-            out[there] = len(cuts.value) - np.searchsorted(cuts.value, own, side="right") if len(cuts.value) else 0
-        return pd.Series(out)
+    def bucket_of(ids: pd.Series, starts: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series(cuts.value.buckets(ids, starts, numbers))
 
-    placed = own.withColumn("bucket", bucket_of("id"))
+    start = F.coalesce(F.substring("text", 1, 64), F.lit("")) if cuts.value.hot else F.lit("")
+    placed = own.withColumn("bucket", bucket_of("id", start, F.rand(7) if cuts.value.same else F.lit(0.0)))
     opens = sorted((r[0], r[1]) for r in placed.groupBy("bucket").agg(F.max("id").alias("id")).collect())
     before = {b: opens[i - 1][0] for i, (b, _) in enumerate(opens)}  # the first opens after the last
     first = own.sparkSession.createDataFrame([(b, i, before[b]) for b, i in opens], f"bucket int, head {own.schema['id'].dataType.simpleString()}, before int")
@@ -166,16 +215,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has its last half replaced by the start of the next document's, by falling id; the last is followed
     by the first, and a lone document by itself. Rows that share an id follow one another by text, the shorter code
     points first; null ids come last. Null text: as empty. An empty table gives an empty result. Other columns are
-    ignored, whatever their names. Only one row is held back at a time, so no bucket is gathered in memory.
+    ignored, whatever their names. Only one row is held back at a time, so no bucket is gathered in memory. Buckets hold
+    about `rows_per_bucket` rows also where many rows share an id, have none, or are copies.
     """
-    small_batches(docs.sparkSession)
     rows = with_next(docs, id_col, text_col, rows_per_bucket)
     id_type = rows.schema["id"].dataType.simpleString()
     parts = rows.repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row so far: bucket, extra, id, text, vectors
-        for b in batches:
+        for b in bounded(batches):
             bucket, extra, ids = (b.column(i).to_pylist() for i in range(3))
             texts = pc.fill_null(b.column(3).cast(pa.string()), "").to_pylist()
             own = vectors(texts)
