@@ -33,21 +33,31 @@ def local_date(at: Column, zone: str = "Asia/Tokyo") -> Column:
     return F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd")
 
 
+def weekday(date: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in WEEKDAYS]), F.dayofweek(date))
+
+
 def date_label(date: Column) -> Column:
-    """M月d日(weekday)."""
-    return F.concat(F.month(date).cast("string"), F.lit("月"), F.dayofmonth(date).cast("string"), F.lit("日("), F.element_at(F.array(*[F.lit(x) for x in WEEKDAYS]), F.dayofweek(date)), F.lit(")"))
+    """M/d(weekday)."""
+    return F.concat(F.month(date).cast("string"), F.lit("/"), F.dayofmonth(date).cast("string"), F.lit("("), weekday(date), F.lit(")"))
+
+
+def full_date_label(date: Column) -> Column:
+    """yyyy/MM/dd(weekday)."""
+    return F.concat(F.date_format(date, "yyyy/MM/dd"), F.lit("("), weekday(date), F.lit(")"))
 
 
 def relative_day(date: Column, today: Column) -> Column:
     n = F.datediff(date, today)
-    return F.when(n == 0, "today").when(n == 1, "tomorrow").when(n == 2, "in 2 days").when(n < 0, "ended").when(n <= 60, F.concat(F.lit("in "), n.cast("string"), F.lit(" days"))).otherwise("")
+    return F.when(n == 0, "今天").when(n == 1, "明天").when(n == 2, "后天").when(n < 0, "已结束").when(n <= 60, F.concat(n.cast("string"), F.lit("天后"))).otherwise("")
 
 
 def countdown(target: Column, now: Column) -> Column:
-    """d h m until a moment, never below zero."""
-    s = F.greatest(F.lit(0), F.unix_timestamp(target) - F.unix_timestamp(now))
-    d, h, m = F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60
-    return F.when(d > 0, F.concat_ws(" ", F.concat(d, F.lit("d")), F.concat(h, F.lit("h")))).when(h > 0, F.concat_ws(" ", F.concat(h, F.lit("h")), F.concat(m, F.lit("m")))).otherwise(F.concat(m, F.lit("m")))
+    """Days, hours and minutes until a moment, never below zero; days and hours only if there are any."""
+    m = F.floor(F.greatest(F.lit(0), F.unix_millis(target) - F.unix_millis(now)) / 60_000)
+    d, h = F.floor(m / 1440), F.floor(m % 1440 / 60)
+    part = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
+    return F.concat_ws(" ", F.when(d > 0, part(d, " 天")), F.when(h > 0, part(h, " 小时")), part(m % 60, " 分钟"))
 
 
 def deadline_group(due: Column, now: Column, zone: str = "UTC") -> Column:
@@ -61,10 +71,20 @@ def freshness_bucket(age_hours: Column) -> Column:
     return F.when(age_hours.isNull(), "unknown").when(F.isnan(age_hours) | (age_hours < 24), "<24h").when(age_hours < 72, "1-3d").when(age_hours <= 168, "3-7d").otherwise(">7d")
 
 
-def retry_delay_ms(attempt: Column, retry_after: Column, jitter: Column, most: int = 60_000) -> Column:
-    """What the server asks for, at most a minute; else a doubling delay with the given jitter."""
-    asked = retry_after.try_cast("long") * 1000
-    return F.coalesce(F.when(asked > most, most).otherwise(asked), F.least((F.pow(F.lit(2), attempt) * 1000 + jitter).cast("long"), F.lit(most)))
+def retry_after_ms(value: Column, now: Column) -> Column:
+    """What a server's Retry-After asks for: seconds, or the time until a date of HTTP, never below zero. Null if it is neither."""
+    seconds = F.trim(value).try_cast("double")
+    date = F.regexp_extract(value, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+    at = F.try_to_timestamp(F.concat(date, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z"))
+    return F.when(seconds >= 0, F.round(seconds * 1000).cast("long")).when(seconds.isNull() & at.isNotNull(), F.greatest(F.lit(0), F.unix_millis(at) - F.unix_millis(now)))
+
+
+def retry_delay_ms(attempt: Column, asked_ms: Column, random: Column) -> Column:
+    """What the server asks for, at most a minute; else half a second, doubled at each attempt after the first up to half a
+    minute, times 0.75 to 1.25 by `random` (0 to 1)."""
+    doubled = F.least(F.lit(30_000.0), 500.0 * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)))
+    jitter = 0.75 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), random)) * 0.5
+    return F.coalesce(F.when(asked_ms >= 0, F.least(asked_ms, F.lit(60_000))), F.floor(doubled * jitter + 0.5)).cast("long")
 
 
 def months_from(start: Column, n: int) -> Column:

@@ -18,11 +18,17 @@ ROLE_PREFIXES = r"(?i)[■◆●・]?\s*(?:スペシャルゲスト|guest|ゲス
 NOT_NAMES = r"(?i)^(?:guest|ゲスト|出演者|more(?:\.{3}|…)?|coming\s*soon(?:…|\.\.\.)?|not\s*found)$"
 #: What is replaced in a line-up before it is split, in this order.
 LINE_UP_RULES = (
-    (r"^出演者?\s*[:：]\s*", ""), (r"(?i)^【\s*(?:day\s*\d+|第\d+部)\s*】\s*", ""), (ROLE_LABELS, " / "), (ROLE_PREFIXES, " / "), (r"(?i)\s+(?:guest|ゲスト)\s+", " / "), (r"(?i)member\s*[:：]\s*", " / "),
-    (r"(?i)\s+(?:w/|with\s+guest)\s+", " / "), (r"\s+(?:他|ほか)\s*$", ""), (r"\s*[※＊]\s*ゲストあり\s*$", ""), (r"\s*[（(]\s*順不同\s*[）)]\s*$", ""),
+    (r"^出演者?\s*[:：]\s*ハロプロ研修生(?=\p{IsHan})", "ハロプロ研修生 / "), (r"^出演者?\s*[:：]\s*", ""), (r"ハロプロ研修生(?=\p{IsHan})", "ハロプロ研修生 / "), (r"^(WHITE SCORPION)\s+(.+)$", "$1 / $2"),
+    (r"(?i)^【\s*(?:day\s*\d+|第\d+部)\s*】\s*", ""), (r"^【\s*(?:福岡|東京|大阪|名古屋|札幌|横浜)\s*[・:：]\s*([^】]+)】$", "$1"), (ROLE_LABELS, " / "), (ROLE_PREFIXES, " / "), (r"(?i)\s+(?:guest|ゲスト)\s+", " / "), (r"(?i)member\s*[:：]\s*", " / "),
+    (r"(?i)\s+(?:w/|with\s+guest)\s+", " / "), (r"\s+(?:他|ほか)\s*$", ""), (r"\s*[※＊]\s*ゲストあり\s*$", ""), (r"\s*[（(]\s*順不同\s*[）)]\s*$", ""), (r"(?i)^[\s\-–—]*(?:day\s*\d+|第\d+部)[\s\-–—:：]*", ""),
 )
 #: What is removed from each name, in this order.
-NAME_RULES = (r"^[▷▶◆■●+]\s*", r"^[＜<]?(?:司会|出演)[＞>]?\s*", r"^【[^】]+】\s*", r"^[（(]\s*", r"[）)]\s*$", r"(?i)^MC\s*[:：]\s*", r"\s*→\s*出演キャンセル.*$", r"\s*[※＊]\s*出演者.*$")
+NAME_RULES = (
+    r"^[▷▶◆■●+]\s*", r"^[＜<]?(?:司会|出演)[＞>]?\s*", r"^【[^】]+】\s*", r"^[（(]\s*", r"[）)]\s*$", r"(?i)\s*[（(](?:guitar|vocal|bass|keyboards?|drums?|chorus|gt|ba|perc|tp|sax|mc|sousaphone|バンド)[^）)]*[）)]\s*$",
+    r"(?i)^[^:：]{0,16}(?:演奏|member|dancer|vj|laser|costume provider)\s*[:：].*$", r"(?i)^MC\s*[:：]\s*", r"\s*→\s*出演キャンセル.*$", r"\s*[※＊]\s*出演者.*$", r"\s+w$",
+)
+#: Names of places that stand in line-ups without playing.
+PLACES = r"(?i)^(?:Zepp\s|新宿(?:LOFT|MARZ|Marble|SAMURAI|Zirco|HEIST|Motion|ACB)|BAR THE LOFT|ROCK CAFE LOFT|HOLIDAY SHINJUKU|club SCIENCE)"
 #: Entities that visible text replaces by a space.
 ENTITIES = r"(?i)&(?:nbsp|amp|lt|gt|quot|#39);"
 
@@ -76,7 +82,7 @@ def split_names(c: Column) -> Column:
             x = F.regexp_replace(x, pattern, "")
         return x
 
-    names = F.filter(F.transform(F.split(text, NAME_SEPARATORS), tidy), lambda x: (x != "") & ~x.rlike(NOT_NAMES))
+    names = F.filter(F.transform(F.split(text, NAME_SEPARATORS), tidy), lambda x: (x != "") & ~x.rlike(NOT_NAMES) & ~x.rlike(PLACES))
     return F.when(gone | (text == ""), F.array().cast("array<string>")).otherwise(F.array_distinct(names))
 
 
@@ -145,8 +151,11 @@ def overlap_score(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(a, F.lit("")).eqNullSafe("") | F.coalesce(b, F.lit("")).eqNullSafe(""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), ratio).otherwise(shared)
 
 
-#: Patterns of data that must not enter notes: credentials, tokens, ids, phone and card numbers.
-SENSITIVE = (r"(?i)(?:password|passwd|pwd|パスワード|密码)\s*[:=：]\s*\S+", r"(?i)(?:token|secret|api[_-]?key)\s*[:=：]\s*\S+", r"\b[A-Z]{1,2}\d{7,8}\b", r"\+?\d{2,4}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{4}", r"\b(?:\d[ -]?){13,16}\b")
+#: Patterns of data that must not enter notes: credentials, numbers of documents, of phones, of persons, of cards.
+SENSITIVE = (
+    r"(?iu)(?:密码|password|passcode|验证码|verification\s*code|one[- ]?time\s*password|otp|cvv)\s*[:：=]?\s*\S{4,}", r"(?iu)(?:护照号|passport\s*(?:no|number)|身份证号|identity\s*(?:no|number)|银行卡号|card\s*(?:no|number))\s*[:：=]?\s*[A-Z0-9][A-Z0-9\s-]{5,}",
+    r"(?:^|\D)(?:\+?\d[\s-]?){10,15}(?:\D|$)", r"(?:^|\D)\d{17}[\dXx](?:\D|$)", r"(?:^|\D)(?:\d[ -]?){13,19}(?:\D|$)",
+)
 
 
 def has_sensitive(c: Column, patterns: tuple[str, ...] = SENSITIVE) -> Column:
@@ -156,13 +165,67 @@ def has_sensitive(c: Column, patterns: tuple[str, ...] = SENSITIVE) -> Column:
     return out
 
 
-def date_signals(c: Column, year: Column) -> Column:
-    """Dates written in full or as month and day, as yyyy-MM-dd."""
-    full, short = r"(20\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})", r"(?<![\d/.-])(\d{1,2})[/月](\d{1,2})(?![\d/])"
+#: Dates in full, and as month and day.
+FULL_DATE, SHORT_DATE = r"(20\d{2})[/.年-](\d{1,2})[/.月-](\d{1,2})日?", r"(?:^|\D)(\d{1,2})[/.月](\d{1,2})日?"
+
+
+def date_signals(c: Column) -> Column:
+    """The distinct dates that a text names: those in full as yyyy-MM-dd, then those of month and day as MM-dd."""
+
+    def two(x: Column) -> Column:
+        return F.lpad(x, 2, "0")
+
+    def found(pattern: str, n: int) -> Column:
+        groups = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)]
+        return F.transform(F.arrays_zip(*groups), lambda x: F.concat_ws("-", *[x["g1"] if n == 3 and i == 1 else two(x[f"g{i}"]) for i in range(1, n + 1)]))
+
+    return F.array_union(found(FULL_DATE, 3), found(SHORT_DATE, 2))
+
+
+#: Rules of admission that a text may state, each with what it applies to.
+ELIGIBILITY = (
+    (r"未就学児(?:童)?入場不可", "未就学児童入場不可", "入場条件"), (r"小学生以上有料", "小学生以上有料", "入場条件"), (r"3歳以上有料", "3歳以上有料", "入場条件"), (r"FC最速先行[^。]{0,40}(?:当選|会員)", "FC最速先行の当選・入金者", "アップグレード受付"),
+    (r"小学生以上(?:は)?チケット(?:が)?必要", "小学生以上はチケット必要", "入場条件"), (r"未就学児(?:童)?(?:のお子様)?は大人1名につき1名まで膝上(?:に限り)?無料", "未就学児は大人1名につき1名まで膝上無料", "入場条件"),
+    (r"中学生以下のお子様が必ず1名以上[^。]{0,80}満18歳以上の大人が必ず1名以上同席", "中学生以下1名以上と18歳以上の大人1名以上の同席が必要", "ファミリー席"),
+)
+
+
+def eligibility(c: Column) -> Column:
+    """(label, applies_to) of each rule that a text states, in the order of the table."""
+    return F.array_compact(F.array(*[F.when(c.rlike(p), F.struct(F.lit(label).alias("label"), F.lit(to).alias("applies_to"))) for p, label, to in ELIGIBILITY]))
+
+
+#: Phrases of pages behind a wall.
+WALLS = (
+    r"(?iu)access denied|request blocked|bot verification|human verification|just a moment|アクセスが拒否|アクセスが制限|閲覧制限|人間であることを確認", r"(?iu)ログインしてください|ログインが必要|sign in to continue|login required",
+    r"(?iu)i am not a robot|私はロボットではありません|captcha ?を入力",
+)
+PASSWORD_FIELD, LOGIN_WORD, LOGIN_PATH = r"(?i)<input\b[^>]*\btype=[\"']password[\"']", r"(?iu)login|sign[ -]?in|ログイン|会員", r"(?i)/(?:login|signin|sign-in|auth)(?:[/?#]|$)"
+
+#: Characters that are dropped, and regional ends of venue names, before a page is searched for a venue or date.
+PAGE_PUNCTUATION, VENUE_REGION = r"(?U)[\s・･\-_/()（）「」『』：:,.。]", r"(?i)[（(](?:TOKYO|OSAKA|東京都|大阪府)[）)]"
+
+
+def page_key(c: Column, compatible: bool = True) -> Column:
+    """A text for search in pages: NFKC (unless the caller knows that it changes nothing), lower case, without punctuation."""
+    c = F.coalesce(c, F.lit(""))
+    return F.regexp_replace(F.lower(nfkc(c) if compatible else c), PAGE_PUNCTUATION, "")
+
+
+def has_date(key: Column, date: Column) -> Column:
+    """Whether a page (its key) names a date, yyyy-M-d: with padded month and day, or without."""
+    y, m, d = (F.regexp_extract(date, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", i) for i in (1, 2, 3))
+    short = F.concat(y, m.try_cast("int").cast("string"), d.try_cast("int").cast("string"))
+    return F.coalesce((y != "") & (F.contains(key, F.concat(y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))) | F.contains(key, short)), F.lit(False))
+
+
+def has_venue(key: Column, venue: Column, compatible: bool = True) -> Column:
+    """Whether a page (its key, made without VENUE_REGION) names a venue. No venue: no."""
+    wanted = page_key(F.regexp_replace(F.coalesce(venue, F.lit("")), VENUE_REGION, ""), compatible)
+    return (wanted != "") & F.contains(key, wanted)
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract_all(c, F.lit(pattern), F.lit(i))
 
-    whole = F.transform(F.arrays_zip(part(full, 1).alias("y"), part(full, 2).alias("m"), part(full, 3).alias("d")), lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")))
-    rest = F.transform(F.arrays_zip(part(short, 1).alias("m"), part(short, 2).alias("d")), lambda x: F.concat_ws("-", year.cast("string"), F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")))
-    return F.array_union(whole, rest)
+def has_time(key: Column, time: Column) -> Column:
+    """Whether a page (its key) names a time. No time: yes."""
+    wanted = page_key(time, False)
+    return (wanted == "") | F.contains(key, wanted)

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 #: Query parameters that only track visitors.
 TRACKING = ("fbclid", "gclid", "igshid", "ref", "source", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
-#: Parameters that carry credentials in links shared by people.
-CREDENTIALS = ("access_token", "auth", "code", "key", "password", "session", "sig", "signature", "token")
+#: In links shared by people, parameters that track visitors (besides all that begin with utm_) or carry credentials.
+SOCIAL_TRACKING, CREDENTIALS = ("fbclid", "gclid", "igshid", "si", "ref", "source"), ("access_token", "auth_token", "session", "sessionid", "password")
+#: Hosts of platforms on which people share links.
+PLATFORMS = (("xhs", r"^xhslink\.com$|xiaohongshu\.com$"), ("x", r"^x\.com$|twitter\.com$"), ("instagram", r"instagram\.com$"))
+#: Hosts whose pages sell tickets, and paths on them that do not.
+TICKET_HOSTS = ("eplus.jp", "ticket.pia.jp", "t.pia.jp", "l-tike.com", "ticket.tickebo.jp", "ticketbook.jp", "ticket.rakuten.co.jp", "ticketpay.jp", "livepocket.jp", "zaiko.io", "cnplayguide.com")
+NO_TICKETS = r"(?i)^/(?:contact|help|guide|faq|login)(?:/|$)"
 #: Hosts of ticket providers.
 PROVIDERS = (("eplus", r"(?:^|\.)eplus\.jp$"), ("pia", r"(?:^|\.)pia\.jp$"), ("lawson", r"(?:^|\.)l-tike\.com$"), ("ticketbook", r"(?:^|\.)ticketbook\.jp$"))
 #: What tells kinds of pages by their path and query.
@@ -24,10 +29,12 @@ def parts(url: Column) -> dict[str, Column]:
     return {k: F.regexp_extract(url, whole, i) for i, k in enumerate(("scheme", "host", "path", "query"), 1)}
 
 
-def canonical(url: Column, dropped: tuple[str, ...] = TRACKING) -> Column:
+def canonical(url: Column, dropped: tuple[str, ...] = TRACKING, dropped_start: str = "") -> Column:
     """Lower-case scheme and host, no fragment, no tracking parameters, the others in order, no slashes at the path's end. Null for others than http(s)."""
     p = parts(url)
-    kept = F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~F.lower(F.split_part(x, F.lit("="), F.lit(1))).isin(*dropped))
+    name = lambda x: F.lower(F.split_part(x, F.lit("="), F.lit(1)))
+    gone = lambda x: name(x).isin(*dropped) | (F.startswith(name(x), F.lit(dropped_start)) if dropped_start else F.lit(False))
+    kept = F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~gone(x))
     ordered = F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), x.alias("x")))), lambda s: s["x"])
     path = F.when(F.regexp_replace(p["path"], "/+$", "") == "", "/").otherwise(F.regexp_replace(p["path"], "/+$", ""))
     query = F.array_join(ordered, "&")
@@ -35,8 +42,26 @@ def canonical(url: Column, dropped: tuple[str, ...] = TRACKING) -> Column:
 
 
 def canonical_social(url: Column) -> Column:
-    """As canonical, without credential parameters; null where the URL names a user."""
-    return F.when(~parts(url)["host"].contains("@"), canonical(url, TRACKING + CREDENTIALS))
+    """As canonical, without parameters that track or carry credentials; null where the URL names a user."""
+    url = F.trim(url)
+    return F.when(~parts(url)["host"].contains("@"), canonical(url, SOCIAL_TRACKING + CREDENTIALS, "utm_"))
+
+
+def social_platform(url: Column) -> Column:
+    """The platform of a shared link by its host, or other."""
+    own, out = F.regexp_replace(host(url), r"^www\.", ""), F.lit("other")
+    for name, pattern in reversed(PLATFORMS):
+        out = F.when(own.rlike(pattern), name).otherwise(out)
+    return F.coalesce(out, F.lit("other"))
+
+
+def sells_tickets(url: Column) -> Column:
+    """Whether a URL is a page of its own on a host (or a host below one) that sells tickets."""
+    own, path = host(url), F.regexp_replace(parts(url)["path"], "/+$", "")
+    known = F.lit(False)
+    for x in TICKET_HOSTS:
+        known = known | (own == x) | own.endswith(f".{x}")
+    return F.coalesce(known & (path != "") & ~path.rlike(NO_TICKETS), F.lit(False))
 
 
 def host(url: Column) -> Column:
@@ -81,10 +106,14 @@ def offer_id(event_id: Column, url: Column) -> Column:
     return F.when(own.isNotNull(), F.concat_ws(":", F.lit("offer"), provider(url), own)).otherwise(F.concat_ws(":", F.lit("offer"), event_id, provider(url), F.url_encode(F.coalesce(canonical(url), url))))
 
 
+#: Labels of links on official pages.
+PROMOTER_LABEL, ARTIST_LABEL = r"主催|問い合わせ|連絡先", r"(?iu)web\s*サイト|公式|artist"
+
+
 def link_role(url: Column, label: Column) -> Column:
-    """What a link on an official page leads to."""
-    text = F.lower(F.concat_ws(" ", url, label))
-    return F.when(text.rlike("refund|払い?戻し?"), "refund").when(text.rlike("ticket|チケット|eplus|pia|l-tike"), "ticket_detail").when(text.rlike("facebook|twitter|instagram|x\\.com"), "social").otherwise("official")
+    """What a link on an official page leads to, by its address, else by its label; null if neither tells."""
+    label = F.coalesce(label, F.lit(""))
+    return F.when(sells_tickets(url), "ticket_detail").when(label.rlike(PROMOTER_LABEL), "promoter_official").when(label.rlike(ARTIST_LABEL), "artist_official")
 
 
 def maps_route(place: Column) -> Column:

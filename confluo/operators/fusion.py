@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.functions.status import availability_rank
+from confluo.functions.text import normalize_name
 
 #: Fields of which different values add up; of all others they are a conflict.
-ADDITIVE = ("prices", "ticketTypes", "purchaseUrls", "salePhases", "additionalFees", "eligibility")
+ADDITIVE = ("ticketTypes", "prices", "additionalFees", "ticketPhases", "eligibility", "purchaseUrls")
 #: Fields that must be approved before publication.
 REQUIRED = ("title", "artists", "venue", "date", "startTime", "officialUrl")
 
@@ -23,8 +24,14 @@ def fuse(records: DataFrame, key: list[str], priority: Column, seq: str, union:
     return out.withColumn("evidence_level", level).drop("_primary")
 
 
-def candidate_key(date: Column, venue: Column, artists: Column, time: Column) -> Column:
-    return F.concat_ws("|", F.coalesce(date, F.lit("unknown-date")), F.coalesce(venue, F.lit("unknown-venue")), F.coalesce(F.array_join(F.array_sort(artists), ","), F.lit("unknown-artist")), F.coalesce(time, F.lit("unknown-time")))
+def candidate_key(date: Column, venue_id: Column, venue_name: Column, artist_ids: Column, artist_name: Column, title: Column, time: Column, compatible: bool = True) -> Column:
+    """What records of one thing share: date, venue (id, else normalised name), artists (sorted ids, else the normalised first
+    name or title), time. `artist_name` is the first of the record's names."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    name = lambda c: some(normalize_name(c, compatible))
+    venue = F.coalesce(some(venue_id), name(venue_name), F.lit("unknown-venue"))
+    artists = F.coalesce(some(F.array_join(F.array_sort(artist_ids), "+")), name(F.coalesce(some(artist_name), title)), name(title), F.lit(""))
+    return F.concat_ws("|", F.coalesce(some(date), F.lit("unknown-date")), venue, artists, F.coalesce(some(time), F.lit("unknown-time")))
 
 
 def stable_id(prefix: str, key: Column, n: int = 24) -> Column:
@@ -38,26 +45,30 @@ def evidence_hash(hashes: Column) -> Column:
 def merge_evidence(evidence: DataFrame, keys: list[str], field: str = "field") -> DataFrame:
     """Per key and field: value_json, availability_status, confidence, approval_hash, approval_state, n_values.
 
-    evidence: keys, field, value_json, availability_status, evidence_hash, confidence. Several published values of an
-    additive field make the sorted union, of another a conflict without approval hash. Without a published value the
-    status of highest rank prevails. The values of a field are joined by a line feed. As an approval covers every hash
-    of its evidence, the evidence of one field of one thing is gathered, in one shuffle.
+    evidence: keys, field, value_json (the canonical JSON of the value), items (of an additive field's array, the canonical
+    JSON of each item), availability_status, evidence_hash, confidence. Several published values of an additive field
+    make the union of their items, sorted by their JSON, prices as numbers; of another field they are a conflict without
+    approval hash. Without a published value the status of highest rank prevails. As an approval covers every hash of
+    its evidence, the hashes of one field of one thing are gathered, in one shuffle.
     """
-    item = F.struct("value_json", "availability_status", "evidence_hash", "confidence", availability_rank(F.col("availability_status")).alias("rank"))
-    lists = evidence.groupBy(*keys, field).agg(F.collect_list(item).alias("items"))
-    published = F.filter("items", lambda x: x["availability_status"] == "published")
-    rest = F.filter("items", lambda x: x["availability_status"] != "published")
-    lists = lists.select(*keys, field, published.alias("shown"), rest.alias("others"))
-    out = lists.withColumn("values", F.array_sort(F.array_distinct(F.transform("shown", lambda x: x["value_json"])))).withColumn("worst", F.array_max(F.transform("others", lambda x: F.struct(x["rank"].alias("r"), x["availability_status"].alias("s")))))
-    hashes = lambda c: F.transform(c, lambda x: x["evidence_hash"])
+    shown, status = F.col("availability_status") == "published", F.col("availability_status")
+    rank = F.struct(availability_rank(status).alias("r"), status.alias("s"))
+    out = evidence.groupBy(*keys, field).agg(
+        F.collect_set(F.when(shown, F.col("value_json"))).alias("values"), F.collect_set(F.when(shown, F.col("items"))).alias("lists"), F.sort_array(F.collect_list(F.when(shown, F.col("evidence_hash")))).alias("hashes"), F.max(F.when(shown, F.col("confidence"))).alias("sure"),
+        F.max(F.when(~shown, rank)).alias("worst"), F.collect_list(F.when(~shown, F.struct(status.alias("s"), F.col("evidence_hash").alias("h"), F.col("confidence").alias("c")))).alias("others"),
+    )
     n, additive = F.size("values"), F.col(field).isin(*ADDITIVE)
-    relevant = F.filter("others", lambda x: x["availability_status"] == F.col("worst.s"))
-    text = F.array_join(F.col("values"), "\n")
+    items = F.array_sort(F.array_distinct(F.flatten("lists")))
+    numbers = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x.try_cast("double").alias("n"), x.alias("x")))), lambda s: s["x"])
+    union = F.concat(F.lit("["), F.array_join(F.when(F.col(field) == "prices", numbers).otherwise(items), ","), F.lit("]"))
     conflict = (n > 1) & ~additive
-    approval = F.when(conflict, None).when(n > 1, F.sha2(F.concat_ws("|", text, F.array_join(F.sort_array(hashes("shown")), "|")), 256)).when(n == 1, evidence_hash(hashes("shown"))).otherwise(evidence_hash(hashes(relevant)))
+    value = F.when(n == 1, F.element_at("values", 1)).when((n > 1) & additive, union)
+    relevant = F.filter("others", lambda x: x["s"] == F.col("worst.s"))
+    joined = F.array_join("hashes", "|")
+    approval = F.when(conflict, None).when(n > 1, F.sha2(F.concat_ws("|", union, joined), 256)).when(n == 1, F.sha2(joined, 256)).otherwise(evidence_hash(F.transform(relevant, lambda x: x["h"])))
     return out.select(
-        *keys, field, F.when((n > 0) & ~conflict, text).alias("value_json"), F.when(conflict, "conflicting_sources").when(n > 0, "published").otherwise(F.col("worst.s")).alias("availability_status"),
-        F.array_max(F.transform(F.when(n > 0, F.col("shown")).otherwise(relevant), lambda x: x["confidence"])).alias("confidence"), approval.alias("approval_hash"), F.when(conflict, "conflict").otherwise("pending_review").alias("approval_state"), n.alias("n_values"),
+        *keys, field, value.alias("value_json"), F.when(conflict, "conflicting_sources").when(n > 0, "published").otherwise(F.col("worst.s")).alias("availability_status"),
+        F.when(n > 0, F.col("sure")).otherwise(F.array_max(F.transform(relevant, lambda x: x["c"]))).alias("confidence"), approval.alias("approval_hash"), F.when(conflict, "conflict").otherwise("pending_review").alias("approval_state"), n.alias("n_values"),
     )
 
 

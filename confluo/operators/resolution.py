@@ -25,25 +25,31 @@ def folded(records: DataFrame, name: str, variants: DataFrame, compatible: bool
 
 def contained(records: DataFrame, key: str, name: str, variants: DataFrame, least: int = 5) -> DataFrame:
     """The entity whose variant of at least `least` characters holds the name or is held by it; the longest variant wins,
-    then the smallest id. Names share a piece of `least` characters with such a variant, or are shorter than it, so the
-    pieces of both are joined instead of all names with all variants; short names meet variants by their own pieces."""
+    then the smallest id. A variant within a name shares all its pieces of `least` characters with it, so it meets names by
+    the one that is rarest among names; a name within a variant by the one that is rarest among variants. Names that are
+    shorter than a piece meet variants by themselves."""
     own = variants.filter(F.char_length("variant") >= least)
     longest = own.groupBy("entity_id").agg(F.max(F.char_length("variant")).alias("longest"))
 
     def pieces(c, n):
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
 
-    names = records.select(key, name).distinct()
-    long_names = names.filter(F.char_length(name) >= least).withColumn("piece", F.explode(pieces(F.col(name), least)))
-    by_long = long_names.join(own.withColumn("piece", F.explode(pieces(F.col("variant"), least))), "piece")
-    short_names = names.filter(F.char_length(name).between(1, least - 1))
-    by_short = None
+    def rarest(texts: DataFrame, c: str, among: DataFrame) -> DataFrame:
+        """Each text with its piece that is rarest among others'; texts with a piece that no other has are left out."""
+        counts = among.groupBy("piece").agg(F.count("*").alias("n"))
+        met = texts.withColumn("piece", F.explode(pieces(F.col(c), least))).join(counts, "piece", "left")
+        return met.groupBy(c).agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("piece"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0").drop("n")
+
+    names, texts = records.select(key, name).distinct(), own.select("variant").distinct()
+    long_names, short_names = names.select(name).distinct().filter(F.char_length(name) >= least), names.select(name).distinct().filter(F.char_length(name).between(1, least - 1))
+    name_pieces, text_pieces = long_names.withColumn("piece", F.explode(pieces(F.col(name), least))), texts.withColumn("piece", F.explode(pieces(F.col("variant"), least)))
+    met = name_pieces.join(rarest(texts, "variant", name_pieces), "piece").select(name, "variant").filter(F.contains(F.col(name), F.col("variant")))
+    met = met.unionByName(text_pieces.join(rarest(long_names, name, text_pieces), "piece").select(name, "variant").filter(F.contains(F.col("variant"), F.col(name))))
     for n in range(1, least):
-        part = short_names.filter(F.char_length(name) == n).withColumn("piece", F.col(name)).join(own.withColumn("piece", F.explode(pieces(F.col("variant"), n))), "piece")
-        by_short = part if by_short is None else by_short.unionByName(part)
-    met = by_long.unionByName(by_short).filter(F.contains(F.col(name), F.col("variant")) | F.contains(F.col("variant"), F.col(name)))
-    best = met.join(longest, "entity_id").groupBy(key).agg(F.min_by("entity_id", F.struct(-F.col("longest"), F.col("entity_id"))).alias("contained_id"))
-    return best
+        part = short_names.filter(F.char_length(name) == n).withColumn("piece", F.col(name))
+        met = met.unionByName(part.join(texts.withColumn("piece", F.explode(pieces(F.col("variant"), n))), "piece").select(name, "variant"))
+    found = met.distinct().join(own, "variant").join(longest, "entity_id").groupBy(name).agg(F.min_by("entity_id", F.struct(-F.col("longest"), F.col("entity_id"))).alias("contained_id"))
+    return names.join(found, name).select(key, "contained_id")
 
 
 def held(records: DataFrame, name: str, variants: DataFrame, most: int = 100_000) -> DataFrame:
@@ -75,8 +81,8 @@ def resolve(records: DataFrame, key: str, name: str, hint: str, variants: DataFr
 
 
 def match_score(same_date, venue, same_time, artist, title):
-    """Fixed weights of agreeing date, venue, time, artist and title."""
-    return F.round(F.when(same_date, 0.35).otherwise(0.0) + F.when(venue >= 0.75, 0.3).otherwise(0.0) + F.when(same_time, 0.15).otherwise(0.0) + F.when(artist >= 0.75, 0.15).otherwise(0.0) + F.when(title >= 0.6, 0.05).otherwise(0.0), 6)
+    """Fixed weights of agreeing date, venue, time, artist and title, added in that order (venue and time alone stay below 0.45)."""
+    return (F.when(same_date, 0.35).otherwise(0.0) + F.when(venue >= 0.75, 0.3).otherwise(0.0) + F.when(same_time, 0.15).otherwise(0.0) + F.when(artist >= 0.75, 0.15).otherwise(0.0) + F.when(title >= 0.6, 0.05).otherwise(0.0))
 
 
 def similar_venues(observations: DataFrame, events: DataFrame) -> DataFrame:
@@ -99,11 +105,13 @@ def similar_venues(observations: DataFrame, events: DataFrame) -> DataFrame:
 def match_observations(observations: DataFrame, events: DataFrame) -> DataFrame:
     """Per observation: event_id, level, reason, score.
 
-    observations: obs_id, date, venue_name, start_time, title, artist_names; events: the same with id. All names
-    normalised. One event of the same date and venue is confirmed; of several, one with the same time. Else the best
-    score of 0.45 or more is probable. Only a shared date, or a venue and time or artist, reaches 0.45, so candidates come
-    from equi joins on the date, and for the rest on equal venue names and on similar ones, matched once a pair of names:
-    no pair is scored twice.
+    observations: obs_id, date, venue_name, start_time, title, artist_names and, if a source chain hints at an event, hint_id;
+    events: the same with id. All names normalised. A hinted event of a score of 0.65 or more is confirmed, unless others
+    share its date and venue and its time differs. Else one event of the same date and venue is confirmed; of several, one
+    with the same time. Else the best score of 0.45 or more is probable, of equal ones the event with the smallest id.
+    Only a shared date, or a venue with time and another fact, reaches 0.45, so candidates come from equi joins on the
+    date, and for the rest on equal venue names and on similar ones, matched once a pair of names: no pair is scored
+    twice. The score of an unmatched observation is the best of its candidates.
     """
     o, e = observations.alias("o"), events.alias("e")
     dated = o.join(e, F.col("o.date") == F.col("e.date"))
@@ -112,36 +120,60 @@ def match_observations(observations: DataFrame, events: DataFrame) -> DataFrame:
     names = similar_venues(observations, events).alias("v")
     near = o.join(names, F.col("o.venue_name") == F.col("v.venue_name")).join(e, (F.col("v.other_venue") == F.col("e.venue_name")) & apart)
     best_artist = F.coalesce(F.array_max(F.flatten(F.transform("o.artist_names", lambda x: F.transform(F.col("e.artist_names"), lambda y: text.overlap_score(x, y))))), F.lit(0.0))
+    same_time = F.coalesce((F.col("o.start_time") == F.col("e.start_time")) & (F.col("o.start_time") != ""), F.lit(False))
 
     def scored(joined: DataFrame) -> DataFrame:
         venue = text.overlap_score(F.col("o.venue_name"), F.col("e.venue_name"))
-        score = match_score(F.coalesce(F.col("o.date") == F.col("e.date"), F.lit(False)), venue, F.coalesce(F.col("o.start_time") == F.col("e.start_time"), F.lit(False)), best_artist, text.overlap_score(F.col("o.title"), F.col("e.title")))
+        score = match_score(F.coalesce(F.col("o.date") == F.col("e.date"), F.lit(False)), venue, same_time, best_artist, text.overlap_score(F.col("o.title"), F.col("e.title")))
         same = F.coalesce((F.col("o.date") == F.col("e.date")) & (venue >= 0.75), F.lit(False))
-        return joined.select("o.obs_id", F.col("e.id").alias("event_id"), score.alias("score"), same.alias("same"), F.coalesce(same & (F.col("o.start_time") == F.col("e.start_time")), F.lit(False)).alias("timed"))
+        return joined.select("o.obs_id", F.col("e.id").alias("event_id"), score.alias("score"), same.alias("same"), (same & same_time).alias("timed"))
 
     both = scored(dated).unionByName(scored(other)).unionByName(scored(near))
     found = both.groupBy("obs_id").agg(
         F.count_if("same").alias("n_same"), F.count_if("timed").alias("n_timed"), F.max(F.when(F.col("same"), F.struct("event_id", "score"))).alias("one"), F.max(F.when(F.col("timed"), F.struct("event_id", "score"))).alias("exact"),
-        F.max_by(F.struct("event_id", "score"), F.struct(F.col("score"), F.col("event_id"))).alias("best"),
+        F.min_by(F.struct("event_id", "score"), F.struct(-F.col("score"), F.col("event_id"))).alias("best"),
     )
+    confirmed = lambda x, reason: F.struct(F.col(f"{x}.event_id").alias("event_id"), F.lit("confirmed").alias("level"), F.lit(reason).alias("reason"), F.col(f"{x}.score").alias("score"))
     result = (
-        F.when(F.col("n_same") == 1, F.struct("one.event_id", F.lit("confirmed").alias("level"), F.lit("date_venue").alias("reason"), "one.score"))
-        .when((F.col("n_same") > 1) & (F.col("n_timed") == 1), F.struct("exact.event_id", F.lit("confirmed").alias("level"), F.lit("date_venue_time").alias("reason"), "exact.score"))
+        F.when(F.col("hint").isNotNull(), confirmed("hint", "source_chain_match")).when(F.col("n_same") == 1, confirmed("one", "date_venue")).when((F.col("n_same") > 1) & (F.col("n_timed") == 1), confirmed("exact", "date_venue_time"))
         .when(F.col("best.score") >= 0.45, F.struct("best.event_id", F.lit("probable").alias("level"), F.when(F.col("n_same") > 1, "ambiguous_same_day_venue").otherwise("light_score").alias("reason"), "best.score"))
         .otherwise(F.struct(F.lit(None).cast(events.schema["id"].dataType).alias("event_id"), F.lit("unmatched").alias("level"), F.lit("insufficient_evidence").alias("reason"), F.coalesce("best.score", F.lit(0.0)).alias("score")))
-    )
-    return observations.select("obs_id").join(found, "obs_id", "left").select("obs_id", result.alias("r")).select("obs_id", "r.*")
-
-
-def fuzzy_top(queries: DataFrame, items: DataFrame, key: str, name: str, threshold: float, n: int, most_queries: int = 10_000) -> DataFrame:
+    )
+    if "hint_id" in observations.columns:
+        hints = hinted_events(observations, events, scored, same_time)
+    else:
+        hints = found.select("obs_id", F.col("best").alias("hint")).filter(F.lit(False))
+    out = observations.select("obs_id").join(found, "obs_id", "left").join(hints, "obs_id", "left")
+    return out.select("obs_id", result.alias("r")).select("obs_id", "r.*")
+
+
+def hinted_events(observations: DataFrame, events: DataFrame, scored, same_time) -> DataFrame:
+    """obs_id, hint (event_id, score) of hinted events that are confirmed. Events are counted by date and venue before hinted ones
+    meet those of their date."""
+    places = events.filter("date <> '' and venue_name <> ''").groupBy(F.col("date").alias("p_date"), F.col("venue_name").alias("p_venue")).agg(F.count("*").alias("n"))
+    hinted = events.join(observations.select(F.col("hint_id").alias("id")).distinct(), "id", "left_semi")
+    alike = hinted.join(places, F.col("date") == F.col("p_date")).filter(text.overlap_score(F.col("p_venue"), F.col("venue_name")) >= 0.75)
+    crowds = alike.groupBy(F.col("id").alias("crowd_id")).agg(F.sum("n").alias("crowd"))
+    e = hinted.join(crowds, F.col("id") == F.col("crowd_id"), "left").alias("e")
+    joined = observations.alias("o").join(e, F.col("o.hint_id") == F.col("e.id"))
+    clear = ~(F.coalesce(F.col("e.crowd") > 1, F.lit(False)) & (F.coalesce(F.col("e.start_time"), F.lit("")) != "")) | same_time
+    return scored(joined.filter(clear)).filter("score >= 0.65").select("obs_id", F.struct("event_id", "score").alias("hint"))
+
+
+def fuzzy_top(queries: DataFrame, items: DataFrame, key: str, name: str, threshold: float, n: int, block: int = 10_000) -> DataFrame:
     """Per query the n best items by edit distance over length, at or below the threshold, ties by id. queries: query.
 
-    The queries are sent to all items, so their number is checked; more than `most_queries` are refused.
+    The queries, a stated set, are compared with all items in blocks of about `block`, each sent to every task, so any
+    number of them works and none holds more than a block.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    pairs = F.broadcast(queries).crossJoin(items)
-    distance = F.levenshtein(F.col("query"), F.col(name)) / F.greatest(F.char_length("query"), F.char_length(name))
-    scored = pairs.withColumn("distance", F.round(distance, 6)).filter(F.col("distance") <= threshold)
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    longest = F.greatest(F.char_length("query"), F.char_length(name))
+    near = F.abs(F.char_length("query") - F.char_length(name)) <= threshold * longest  # else the distance is larger
+    pairs = None
+    for i in range(blocks):
+        part = F.broadcast(dealt.filter(F.col("_block") == i).drop("_block")).crossJoin(items).filter(near)
+        pairs = part if pairs is None else pairs.unionByName(part)
+    scored = pairs.withColumn("distance", F.round(F.levenshtein(F.col("query"), F.col(name)) / longest, 6)).filter(F.col("distance") <= threshold)
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
     return scored.withColumn("place", place).filter(F.col("place") <= n)

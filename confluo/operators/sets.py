@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,8 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], removed: DataFram
     if removed is not None:
         rest = rest.join(removed.select(*keys).distinct(), keys, "left_anti")
     return rest.unionByName(rows)
+
+
+def unique_known(c: Column) -> Column:
+    """The distinct values of a group that are neither null nor empty, sorted."""
+    return F.array_sort(F.collect_set(F.nullif(c, F.lit(""))))

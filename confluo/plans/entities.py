@@ -22,16 +22,17 @@ def fused_records(spark, d):
     return out.select("o_custkey", "month", "members", F.col("preferred.o_orderkey").alias("preferred_key"), F.array_join("priorities", ",").alias("priorities"), "evidence_level")
 
 
-@query("""WITH e AS (SELECT l_orderkey, unnest(['returnflag', 'prices']) AS field, unnest([l_returnflag, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)]) AS v, l_linestatus, sha256(CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)) AS h FROM lineitem),
-p AS (SELECT l_orderkey, field, list_sort(list_distinct(list(v) FILTER (WHERE l_linestatus = 'O'))) AS vs, list_sort(list(h) FILTER (WHERE l_linestatus = 'O')) AS hs, list_sort(list(h) FILTER (WHERE l_linestatus = 'F')) AS others FROM e GROUP BY 1, 2),
-c AS (SELECT *, coalesce(len(vs), 0) AS n FROM p)
-SELECT l_orderkey, field, CASE WHEN n = 0 THEN 'not_announced' WHEN n > 1 AND field = 'returnflag' THEN 'conflicting_sources' ELSE 'published' END AS availability_status,
-CASE WHEN n = 0 OR (n > 1 AND field = 'returnflag') THEN NULL ELSE array_to_string(vs, chr(10)) END AS value_json,
-CASE WHEN n > 1 AND field = 'returnflag' THEN NULL WHEN n > 1 THEN sha256(array_to_string(vs, chr(10)) || '|' || array_to_string(hs, '|')) WHEN n = 1 THEN sha256(array_to_string(hs, '|')) ELSE sha256(array_to_string(others, '|')) END AS approval_hash,
-CASE WHEN n > 1 AND field = 'returnflag' THEN 'conflict' ELSE 'pending_review' END AS approval_state FROM c""")
+@query("""WITH e AS (SELECT l_orderkey, unnest(['startTime', 'prices']) AS field, unnest(['"' || l_returnflag || '"', '[' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ',1000]']) AS v, CAST(l_quantity AS BIGINT) AS q, l_linestatus, sha256(CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)) AS h FROM lineitem),
+p AS (SELECT l_orderkey, field, count(DISTINCT v) FILTER (WHERE l_linestatus = 'O') AS n, min(v) FILTER (WHERE l_linestatus = 'O') AS v, list_sort(list_distinct(list(q) FILTER (WHERE l_linestatus = 'O'))) AS qs, list_sort(list(h) FILTER (WHERE l_linestatus = 'O')) AS hs, list_sort(list(h) FILTER (WHERE l_linestatus = 'F')) AS others FROM e GROUP BY 1, 2),
+c AS (SELECT *, '[' || array_to_string(qs, ',') || ',1000]' AS joined FROM p)
+SELECT l_orderkey, field, CASE WHEN n = 0 THEN 'not_announced' WHEN n > 1 AND field = 'startTime' THEN 'conflicting_sources' ELSE 'published' END AS availability_status,
+CASE WHEN n = 0 OR (n > 1 AND field = 'startTime') THEN NULL WHEN n > 1 THEN joined ELSE v END AS value_json,
+CASE WHEN n > 1 AND field = 'startTime' THEN NULL WHEN n > 1 THEN sha256(joined || '|' || array_to_string(hs, '|')) WHEN n = 1 THEN sha256(array_to_string(hs, '|')) ELSE sha256(array_to_string(others, '|')) END AS approval_hash,
+CASE WHEN n > 1 AND field = 'startTime' THEN 'conflict' ELSE 'pending_review' END AS approval_state FROM c""")
 def field_evidence_merge(spark, d):
-    """Lines of an order as evidence: the return flag is a scalar field, prices add up; only open lines are published."""
-    fields = F.explode(F.array(F.struct(F.lit("returnflag").alias("field"), F.col("l_returnflag").alias("value_json")), F.struct(F.lit("prices").alias("field"), F.col("l_quantity").cast("long").cast("string").alias("value_json"))))
+    """Lines of an order as evidence: a time is a scalar field, prices add up as numbers; only open lines are published."""
+    q = F.col("l_quantity").cast("long").cast("string")
+    fields = F.explode(F.array(F.struct(F.lit("startTime").alias("field"), F.concat(F.lit('"'), "l_returnflag", F.lit('"')).alias("value_json"), F.lit(None).cast("array<string>").alias("items")), F.struct(F.lit("prices").alias("field"), F.concat(F.lit("["), q, F.lit(",1000]")).alias("value_json"), F.array(q, F.lit("1000")).alias("items"))))
     rows = table(spark, d, "lineitem").select("l_orderkey", fields.alias("f"), F.when(F.col("l_linestatus") == "O", "published").otherwise("not_announced").alias("availability_status"), F.sha2(F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")), 256).alias("evidence_hash"), F.lit(0.9).alias("confidence"))
     merged = fusion.merge_evidence(rows.select("l_orderkey", "f.*", "availability_status", "evidence_hash", "confidence"), ["l_orderkey"])
     return merged.select("l_orderkey", "field", "availability_status", "value_json", "approval_hash", "approval_state")
@@ -43,31 +44,18 @@ def slot_conflicts(spark, d):
     return fusion.slot_conflicts(rows, ["user_id", "slot"], F.col("identity"))
 
 
-@query("""WITH h AS (SELECT source, lang, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 1 = 0) SELECT source, lang, sha256(string_agg(h, '|' ORDER BY h)) AS evidence_hash, 'evt_' || substr(sha256(source || '|' || lang), 1, 24) AS id FROM h GROUP BY source, lang""")
+@query("""WITH h AS (SELECT l_orderkey, sha256(l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM lineitem) SELECT l_orderkey, sha256(string_agg(h, '|' ORDER BY h)) AS evidence_hash FROM h GROUP BY 1""")
 def evidence_hash(spark, d):
-    """A hash over the sorted content hashes of each group. The hashes of a group are first combined by their leading two
-    digits, so that no task sorts a large group whole before it is small."""
-    rows = table(spark, d, "documents").select("source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    parts = rows.groupBy("source", "lang", F.substring("h", 1, 2).alias("p")).agg(F.array_join(F.sort_array(F.collect_list("h")), "|").alias("hs"))
-    whole = parts.groupBy("source", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "hs"))), lambda x: x["hs"]), "|").alias("all"))
-    return whole.select("source", "lang", F.sha2("all", 256).alias("evidence_hash"), fusion.stable_id("evt_", F.concat_ws("|", "source", "lang")).alias("id"))
-
-
-@query("""WITH n AS (SELECT p_partkey, p_brand, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS s FROM part WHERE p_size <= 10), g AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(s) - 1, 1) + 1), lambda i: substr(s, i, 2))) AS b FROM n)
-SELECT a.p_partkey AS a_partkey, c.p_partkey AS b_partkey, round(CASE WHEN a.s = c.s THEN 1.0 ELSE len(list_intersect(a.b, c.b)) / len(list_distinct(list_concat(a.b, c.b))) END, 6) AS similarity FROM g a JOIN g c ON a.p_brand = c.p_brand AND a.p_partkey < c.p_partkey
-WHERE CASE WHEN a.s = c.s THEN 1.0 ELSE len(list_intersect(a.b, c.b)) / len(list_distinct(list_concat(a.b, c.b))) END >= 0.4""")
-def bigram_similarity(spark, d):
-    """Pairs of parts of a brand with alike names."""
-    rows = table(spark, d, "part").filter("p_size <= 10").select("p_partkey", "p_brand", text.normalize_name(F.col("p_name"), compatible=False).alias("s")).withColumn("g", text.bigrams(F.col("s")))
-    met = pairs.bucket_pairs(rows, ["p_brand"], "p_partkey").withColumn("similarity", text.similarity_of(F.col("a_s"), F.col("b_s"), F.col("a_g"), F.col("b_g")))
-    return met.filter("similarity >= 0.4").select(F.col("a_p_partkey").alias("a_partkey"), F.col("b_p_partkey").alias("b_partkey"), F.round("similarity", 6).alias("similarity"))
+    """A hash over the sorted content hashes of the records of one thing: the lines of an order."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.sha2(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey"), 256).alias("h"))
+    return rows.groupBy("l_orderkey").agg(fusion.evidence_hash(F.collect_list("h")).alias("evidence_hash"))
 
 
 @query("""WITH n AS (SELECT p_partkey, p_brand, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS s FROM part), g AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(s) - 1, 1) + 1), lambda i: substr(s, i, 2))) AS b FROM n)
 SELECT a.p_partkey AS a_partkey, c.p_partkey AS b_partkey, round(CASE WHEN a.s = '' OR c.s = '' THEN 0.0 WHEN a.s = c.s THEN 1.0 ELSE len(list_intersect(a.b, c.b)) / len(list_distinct(list_concat(a.b, c.b))) END, 6) AS similarity FROM g a JOIN g c ON a.p_brand = c.p_brand AND a.p_partkey < c.p_partkey
 WHERE CASE WHEN a.s = '' OR c.s = '' THEN 0.0 WHEN a.s = c.s THEN 1.0 ELSE len(list_intersect(a.b, c.b)) / len(list_distinct(list_concat(a.b, c.b))) END >= 0.4""")
-def bigram_whole(spark, d):
-    """As bigram_similarity, over parts of every size: names that share a rare pair of characters are compared once, and
+def bigram_similarity(spark, d):
+    """Pairs of parts of a brand with alike names: names that share a rare pair of characters are compared once, and
     the parts of alike or equal names are attached to them."""
     rows = table(spark, d, "part").select("p_partkey", "p_brand", text.normalize_name(F.col("p_name"), compatible=False).alias("s"))
     rows = rows.filter("s <> ''")
@@ -88,24 +76,11 @@ def overlap_score(spark, d):
     return F.broadcast(asked).crossJoin(names).select("query", "name", F.round(text.overlap_score(F.col("query"), F.col("name")), 6).alias("score"))
 
 
-@query("""WITH v AS (SELECT item_id, lower(regexp_extract(text, '^([^.\n]{20,60})\\.', 1)) AS v FROM benchmark), r AS (SELECT doc_id, lower(unnest(string_split(text, '.'))) AS s FROM documents WHERE lang = 'en' AND n_chars < 1500)
-SELECT doc_id, min(item_id) AS item_id FROM (SELECT doc_id, item_id, len(v) AS n, max(len(v)) OVER (PARTITION BY doc_id) AS m FROM r JOIN v ON contains(s, v) WHERE len(v) >= 20) WHERE n = m GROUP BY doc_id""".replace("\\\\", "\\"))
-def containment_match(spark, d):
-    """Documents with a sentence that holds the first sentence of a benchmark item; the longest such sentence wins."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.lower(F.regexp_extract("text", "^([^.\n]{20,60})\\.", 1)).alias("variant")).filter("variant <> ''")
-    said = table(spark, d, "documents").filter("lang = 'en' and n_chars < 1500").select("doc_id", F.explode(F.split(F.lower("text"), "\\.")).alias("s")).filter(F.char_length("s") >= 20)
-    rows = said.withColumn("row", F.xxhash64("doc_id", "s"))
-    best = resolution.contained(rows, "row", "s", items, least=20)
-    longest = F.struct(-F.char_length("variant"), F.col("entity_id"))
-    found = rows.join(best, "row").join(items, F.col("contained_id") == F.col("entity_id")).filter(F.contains("s", "variant"))
-    return found.groupBy("doc_id").agg(F.min_by("entity_id", longest).alias("item_id"))
-
-
 @query("""WITH v AS (SELECT item_id, lower(regexp_extract(text, '^([^.\n]{5,})\\.', 1)) AS v FROM benchmark), m AS (SELECT doc_id, item_id, len(v) AS n FROM documents JOIN v ON contains(lower(text), v) WHERE v <> '')
 SELECT doc_id, min(item_id) AS item_id FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS m FROM m) WHERE n = m GROUP BY doc_id""")
-def containment_whole(spark, d):
-    """As containment_match, over documents of every language and length and every first sentence of five characters or
-    more (the least of the reference). It holds no full stop, so whole texts are searched instead of sentences."""
+def containment_match(spark, d):
+    """Documents that hold the first sentence (of five characters or more) of a benchmark item; the longest one wins. It holds
+    no full stop, so whole texts are searched instead of sentences."""
     items = table(spark, d, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "^([^.\n]{5,})\\.", 1)).alias("variant")).filter("variant <> ''")
     found = resolution.held(table(spark, d, "documents").select("doc_id", F.lower("text").alias("text")), "text", items)
     return found.groupBy("doc_id").agg(F.min_by("item_id", F.struct(-F.char_length("variant"), F.col("item_id"))).alias("item_id"))

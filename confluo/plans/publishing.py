@@ -35,14 +35,14 @@ def unresolved_discovery(spark, d):
     return ranking.top(grouped, [F.col("n").desc(), F.col("name_key")], 20)
 
 
-@query("""WITH p AS (SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' WHEN toxic = 1 THEN 'changed' ELSE 'ready' END AS state FROM documents LEFT JOIN labels USING (doc_id)) SELECT state, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY doc_id)) AS batch_hash FROM p GROUP BY 1""")
+@query("""WITH p AS (SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' WHEN toxic = 1 THEN 'changed' ELSE 'ready' END AS state FROM documents LEFT JOIN labels USING (doc_id)),
+a AS (SELECT state, doc_id // 1000 AS a, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY doc_id)) AS h FROM p GROUP BY 1, 2), b AS (SELECT state, a // 1000 AS b, sum(n) AS n, sha256(string_agg(h, '|' ORDER BY a)) AS h FROM a GROUP BY 1, 2) SELECT state, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '|' ORDER BY b)) AS batch_hash FROM b GROUP BY 1""")
 def review_batch_summary(spark, d):
-    """Batches to review with a hash of what they hold; a review counts only for the same hash. Ids are joined in ranges first."""
+    """Batches to review with a hash of what they hold; a review counts only for the same hash. Ids are hashed by thousands, these
+    hashes by thousands again, so no task holds a batch whole."""
     rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     state = F.when(F.col("quality").isNull(), "missing").when(F.col("toxic") == 1, "changed").otherwise("ready")
-    parts = rows.groupBy(state.alias("state"), F.floor(F.col("doc_id") / 10_000).alias("range")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), "|").alias("ids"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "ids"))), lambda x: x["ids"]), "|")
-    return parts.groupBy("state").agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias("batch_hash"))
+    return reports.batch_hash(rows.select(state.alias("state"), "doc_id"), "state", "doc_id")
 
 
 @query("""WITH c AS (SELECT doc_id, sha256(lang || '|' || source) AS h FROM documents), a AS (SELECT doc_id, CASE WHEN quality = 1 THEN sha256(lang || '|' || source) ELSE 'old' END AS approved FROM labels JOIN documents USING (doc_id)) SELECT doc_id, h FROM c JOIN a USING (doc_id) WHERE h = approved""")
@@ -86,17 +86,10 @@ def conflicts_of(lines):
     return out.select("id", "url", "fact", "current_fact", (F.col("current_fact") != F.col("fact")).alias("conflicts"))
 
 
-@query("""WITH o AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 48), c AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 48),
+@query("""WITH o AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'O'), c AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'F'),
 ci AS (SELECT id, min(fact) AS fact FROM c GROUP BY 1), cu AS (SELECT url, min(fact) AS fact FROM c GROUP BY 1) SELECT o.id, o.url, o.fact, coalesce(ci.fact, cu.fact) AS current_fact, coalesce(ci.fact, cu.fact) <> o.fact AS conflicts FROM o LEFT JOIN ci USING (id) LEFT JOIN cu ON o.url = cu.url WHERE coalesce(ci.fact, cu.fact) IS NOT NULL""")
 def observation_conflicts(spark, d):
     """Observed facts against current ones, found by id, else by link."""
-    return conflicts_of(table(spark, d, "lineitem").filter("l_quantity > 48"))
-
-
-@query("""WITH o AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'O'), c AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS url, l_returnflag AS fact FROM lineitem WHERE l_linestatus = 'F'),
-ci AS (SELECT id, min(fact) AS fact FROM c GROUP BY 1), cu AS (SELECT url, min(fact) AS fact FROM c GROUP BY 1) SELECT o.id, o.url, o.fact, coalesce(ci.fact, cu.fact) AS current_fact, coalesce(ci.fact, cu.fact) <> o.fact AS conflicts FROM o LEFT JOIN ci USING (id) LEFT JOIN cu ON o.url = cu.url WHERE coalesce(ci.fact, cu.fact) IS NOT NULL""")
-def observation_conflicts_whole(spark, d):
-    """As observation_conflicts, over all lines."""
     return conflicts_of(table(spark, d, "lineitem"))
 
 
@@ -106,15 +99,9 @@ def context_of(spark, d, orders):
     return rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(names, ",").alias("brands"))
 
 
-@query("""SELECT o_orderkey, string_agg(p_brand, ',' ORDER BY l_linenumber, p_partkey) AS brands FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_totalprice > 450000 GROUP BY 1""")
+@query("""SELECT o_orderkey, string_agg(p_brand, ',' ORDER BY l_linenumber, p_partkey) AS brands FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def event_context(spark, d):
     """Names attached as an ordered list."""
-    return context_of(spark, d, table(spark, d, "orders").filter("o_totalprice > 450000"))
-
-
-@query("""SELECT o_orderkey, string_agg(p_brand, ',' ORDER BY l_linenumber, p_partkey) AS brands FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1""")
-def event_context_whole(spark, d):
-    """As event_context, for orders of every price."""
     return context_of(spark, d, table(spark, d, "orders"))
 
 
@@ -145,27 +132,11 @@ def evidence_manifest(spark, d):
     return manifest(table(spark, d, "events").select(F.col("event_type").alias("source_id"), fetched.alias("fetch_status")))
 
 
-@query(r"""WITH r(label, pattern) AS (VALUES ('license', '(?i)licen[sc]e'), ('secret', '(?i)token = '), ('shout', '!!')) SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM documents JOIN r ON regexp_matches(text, pattern) GROUP BY 1""")
-def eligibility_rules(spark, d):
-    """Labels of a fixed table of rules that a text meets; all rules in one pass over the texts."""
-    rules = {"license": "(?i)licen[sc]e", "secret": "(?i)token = ", "shout": "!!"}
-    labels = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in sorted(rules.items())]))
-    return table(spark, d, "documents").select("doc_id", labels.alias("r")).filter(F.size("r") > 0).select("doc_id", F.array_join("r", ",").alias("labels"))
-
-
 @query("""WITH p AS (SELECT page_id, CASE WHEN regexp_matches(url, '^https') THEN 'publish' ELSE 'phase' END AS origin, length(html) > 3000 AS long FROM pages), u AS (SELECT p.page_id, origin, long FROM p) SELECT origin, long, count(*) AS n, min(page_id) AS first_page FROM u GROUP BY 1, 2""")
 def page_origins(spark, d):
     return table(spark, d, "pages").groupBy(F.when(F.col("url").startswith("https"), "publish").otherwise("phase").alias("origin"), (F.char_length("html") > 3000).alias("long")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
-@query("""WITH x AS (SELECT event_id, least(60000, CASE WHEN event_type = 'error' THEN CAST(floor(value) AS BIGINT) * 1000 ELSE CAST(pow(2, user_id % 8) * 1000 + 5 AS BIGINT) END) AS wait_ms FROM events) SELECT wait_ms, count(*) AS n FROM x GROUP BY 1""")
-def retry_policy(spark, d):
-    from confluo.functions.clock import retry_delay_ms
-
-    asked = F.when(F.col("event_type") == "error", F.floor("value").cast("string"))
-    return table(spark, d, "events").groupBy(retry_delay_ms(F.col("user_id") % 8, asked, F.lit(5)).alias("wait_ms")).agg(F.count("*").alias("n"))
-
-
 @query("""WITH c AS (SELECT unnest(['o_orderpriority', 'o_custkey', 'o_totalprice']) AS field, unnest([count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED'), count(*) FILTER (WHERE o_custkey IS NULL), count(*) FILTER (WHERE o_totalprice IS NULL)]) AS unknown FROM orders) SELECT * FROM c""")
 def unknown_counts(spark, d):
     """How many rows do not know each fact."""

@@ -168,26 +168,19 @@ def related_of(spark, d, lineitem):
     return met.withColumn("place", place).filter("place <= 4").select("o_orderkey", "related", "place")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem WHERE l_quantity > 45), p AS (SELECT DISTINCT a.k AS o_orderkey, b.k AS related, o_orderdate FROM l a JOIN l b ON a.s = b.s AND a.k <> b.k JOIN orders ON o_orderkey = b.k AND o_orderdate >= TIMESTAMP '1998-07-01' WHERE a.k % 20 = 0)
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), p AS (SELECT DISTINCT a.k AS o_orderkey, b.k AS related, o_orderdate FROM l a JOIN l b ON a.s = b.s AND a.k <> b.k JOIN orders ON o_orderkey = b.k AND o_orderdate >= TIMESTAMP '1998-07-01' WHERE a.k % 20 = 0)
 SELECT o_orderkey, related, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate, related) AS r FROM p) WHERE r <= 4""")
 def related_top4(spark, d):
     """For every twentieth order, the four earliest future orders that share a supplier. A supplier's future orders meet in
     date order, and only the first few of each can matter, so they are ranked before the join."""
-    return related_of(spark, d, table(spark, d, "lineitem").filter("l_quantity > 45"))
-
-
-@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), p AS (SELECT DISTINCT a.k AS o_orderkey, b.k AS related, o_orderdate FROM l a JOIN l b ON a.s = b.s AND a.k <> b.k JOIN orders ON o_orderkey = b.k AND o_orderdate >= TIMESTAMP '1998-07-01' WHERE a.k % 20 = 0)
-SELECT o_orderkey, related, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate, related) AS r FROM p) WHERE r <= 4""")
-def related_top4_whole(spark, d):
-    """As related_top4, through lines of every quantity."""
     return related_of(spark, d, table(spark, d, "lineitem"))
 
 
 @query("""SELECT a.event_id AS a_event_id, b.event_id AS b_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) AND a.event_id < b.event_id WHERE a.event_type = b.event_type AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 900000000""")
 def same_slot_pairs(spark, d):
+    """Pairs of a user's events of a kind and day within a quarter of an hour."""
     rows = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("slot"), "event_type", "ts")
-    close = F.abs(F.unix_micros("a_ts") - F.unix_micros("b_ts")) <= 900_000_000
-    return pairs.bucket_pairs(rows, ["user_id", "slot", "event_type"], "event_id", close).select("a_event_id", "b_event_id")
+    return pairs.near_pairs(rows, ["user_id", "slot", "event_type"], "event_id", "ts", 900).select("a_event_id", "b_event_id")
 
 
 @query("""SELECT a.user_id, a.event_id AS a_event_id, b.event_id AS b_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.ts < b.ts + INTERVAL 150 MINUTE AND b.ts < a.ts + INTERVAL 150 MINUTE""")
@@ -223,11 +216,11 @@ def timeline_union(spark, d):
     return t.crossJoin(F.broadcast(marks)).select("o_orderkey", "kind", day("at").alias("item_day"), state.alias("state"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, CAST(month(o_orderdate) AS VARCHAR) || '月' || CAST(day(o_orderdate) AS VARCHAR) || '日(' || list_extract(['日','月','火','水','木','金','土'], CAST(dayofweek(o_orderdate) + 1 AS INTEGER)) || ')' AS label,
-CASE WHEN n = 0 THEN 'today' WHEN n = 1 THEN 'tomorrow' WHEN n = 2 THEN 'in 2 days' WHEN n < 0 THEN 'ended' WHEN n <= 60 THEN 'in ' || n || ' days' ELSE '' END AS relative, strftime(o_orderdate + INTERVAL 9 HOUR, '%Y-%m-%d') AS local_day FROM (SELECT *, date_diff('day', DATE '1998-07-01', CAST(o_orderdate AS DATE)) AS n FROM orders)""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(day(o_orderdate) AS VARCHAR) || '(' || list_extract(['日','月','火','水','木','金','土'], CAST(dayofweek(o_orderdate) + 1 AS INTEGER)) || ')' AS label, strftime(o_orderdate, '%Y/%m/%d') || '(' || list_extract(['日','月','火','水','木','金','土'], CAST(dayofweek(o_orderdate) + 1 AS INTEGER)) || ')' AS full_label,
+CASE WHEN n = 0 THEN '今天' WHEN n = 1 THEN '明天' WHEN n = 2 THEN '后天' WHEN n < 0 THEN '已结束' WHEN n <= 60 THEN n || '天后' ELSE '' END AS relative, strftime(o_orderdate + INTERVAL 9 HOUR, '%Y-%m-%d') AS local_day FROM (SELECT *, date_diff('day', DATE '1998-07-01', CAST(o_orderdate AS DATE)) AS n FROM orders)""")
 def date_labels(spark, d):
     c = F.to_date("o_orderdate")
-    return table(spark, d, "orders").select("o_orderkey", clock.iso_date(F.year(c), F.month(c), F.dayofmonth(c)).alias("iso"), clock.date_label(c).alias("label"), clock.relative_day(c, today()).alias("relative"), clock.local_date(F.col("o_orderdate")).alias("local_day"))
+    return table(spark, d, "orders").select("o_orderkey", clock.iso_date(F.year(c), F.month(c), F.dayofmonth(c)).alias("iso"), clock.date_label(c).alias("label"), clock.full_date_label(c).alias("full_label"), clock.relative_day(c, today()).alias("relative"), clock.local_date(F.col("o_orderdate")).alias("local_day"))
 
 
 @query("SELECT p_partkey, CAST(round(CAST(p_retailprice AS DECIMAL(14, 2)) * 0.048) AS BIGINT) AS cny, CAST(round(CAST(p_retailprice AS DECIMAL(14, 2)) * 0.0066, 2) AS DOUBLE) AS usd FROM part")
@@ -250,21 +243,11 @@ def canonical_urls(spark, d):
     return table(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical_url"))
 
 
-@query(r"""SELECT CASE WHEN regexp_matches(lower(url), '[/_-](help|faq|support|guide|contact)([/_.\-]|$)') THEN 'support' WHEN regexp_matches(lower(url), '/search([_/\-])|[?&](kw|keyword|q)=') THEN 'search' ELSE 'unknown' END AS kind, 'other' AS provider, count(*) AS n FROM pages GROUP BY 1""")
-def url_kinds(spark, d):
-    return table(spark, d, "pages").groupBy(urls.kind(F.col("url")).alias("kind"), urls.provider(F.col("url")).alias("provider")).agg(F.count("*").alias("n"))
-
-
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '(?i)&(nbsp|amp|lt|gt|quot|#39);', ' ', 'g'), '\s+', ' ', 'g')) AS visible FROM pages""")
 def visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.visible_text(F.col("html")).alias("visible"))
 
 
-@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(password|passwd|pwd|パスワード|密码)\s*[:=：]\s*\S+') OR regexp_matches(text, '(?i)(token|secret|api[_-]?key)\s*[:=：]\s*\S+') OR regexp_matches(text, '\b[A-Z]{1,2}\d{7,8}\b') OR regexp_matches(text, '\+?\d{2,4}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{4}') OR regexp_matches(text, '\b(\d[ -]?){13,16}\b')""")
-def sensitive_text(spark, d):
-    return table(spark, d, "documents").filter(text.has_sensitive(F.col("text"))).select("doc_id")
-
-
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b([0-9]{1,6})\\b', 1), lambda x: CAST(x AS BIGINT)))), ',') AS numbers FROM documents""".replace("\\\\", "\\"))
 def extract_numbers(spark, d):
     found = F.regexp_extract_all("text", F.lit(r"\b([0-9]{1,6})\b"), F.lit(1))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from confluo.functions import text
+from confluo.functions.urls import parts
+
 #: What a source record holds; `seq` is the order of input.
 SOURCE_RECORD = """seq long, source_id string, source_name string, source_type string, source_url string, source_event_id string, fetched_at timestamp, title string,
 artist_names array<string>, venue_name string, venue_id_hint string, date string, open_time string, start_time string, purchase_urls array<string>, prices_jpy array<long>, status_hint string"""
@@ -79,10 +82,9 @@ def stale_exports(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def access_restricted(html: Column, url: Column) -> Column:
-    """A page behind a wall: words of a wall in the visible text, a password field with a login word, or a login path."""
-    from confluo.functions.text import visible_text
-
-    words = F.lower(visible_text(html))
-    wall = words.rlike("access denied|verify you are human|are you a robot|アクセスが制限|ログインが必要|会員限定")
-    login = html.rlike("(?i)<input[^>]+type=[\"']?password") & words.rlike("log ?in|sign ?in|ログイン")
-    return wall | login | F.lower(url).rlike(r"^https?://[^/]+/(?:[^?#]*/)?(?:login|signin|auth)(?:[/?#.]|$)")
+    """A page behind a wall: phrases of a wall in the visible text, a password field with a login word, or a login path."""
+    words, out = text.visible_text(html), F.lit(False)
+    for pattern in text.WALLS:
+        out = out | words.rlike(pattern)
+    login = F.coalesce(html, F.lit("")).rlike(text.PASSWORD_FIELD) & words.rlike(text.LOGIN_WORD)
+    return out | login | F.coalesce(parts(url)["path"].rlike(text.LOGIN_PATH), F.lit(False))

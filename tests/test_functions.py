@@ -13,8 +13,11 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     ("raw", "names"),
-    [("Blue Mash 【Guest】ねぐせ / FOMARE", ["Blue Mash", "ねぐせ", "FOMARE"]), ("hide with Spread Beaver", ["hide with Spread Beaver"]), ("梟 →出演キャンセルとなりました", []), ("A × B、C", ["A", "B", "C"]), ("出演者：YY / YY", ["YY"]), ("", []), (None, [])],
-)
+    [
+        ("First 【Guest】Second / Third", ["First", "Second", "Third"]), ("Rock and Roll Group with guest Solo", ["Rock", "Roll Group with", "Solo"]), ("One Act →出演キャンセルのお知らせ", []), ("A × B、C, D", ["A", "B", "C", "D"]), ("出演者：ZZ / ZZ", ["ZZ"]), ("", []), (None, []), ("【東京：甲 / 乙】", ["甲", "乙"]),
+        ("【DAY 3】甲 / 乙 ほか", ["甲", "乙"]), ("DAY2 - 甲、乙", ["甲", "乙"]), ("甲（Guitar）) / 乙", ["甲", "乙"]), ("甲 / VJ：乙", ["甲"]), ("甲 / 新宿LOFT / Zepp Somewhere", ["甲"]), ("甲 w / 乙", ["甲", "乙"]), ("ハロプロ研修生東北 / 甲", ["ハロプロ研修生", "東北", "甲"]),
+    ],
+)
 def test_split_names(spark, raw, names):
     assert one(spark, text.split_names(F.col("a")), a=raw) == names
 
@@ -28,8 +31,8 @@ def test_names(spark):
 @pytest.mark.parametrize(
     ("raw", "prices", "n", "tax", "fee"),
     [
-        ("チケット ¥9,900", [9900], 1, None, None), ("[PRICE] 1Fスタンディング / ¥5,500 2F指定席 / ¥6,000", [5500, 6000], 2, None, None), ("料金 [1階アリーナスタンディング] ¥8,800 [2階指定席] ¥7,700 [2階ファミリー席] ¥6,600", [6600, 7700, 8800], 3, None, None),
-        ("全席指定 / ¥12,500（税込）", [12500], 1, True, None), ("自由席 / ¥4,000（税別）", [4000], 1, False, None), ("スタンディング / ¥5,500（税込） 別途ドリンク代 ¥600 必要", [600, 5500], 1, True, 600),
+        ("当日券 ￥3,210", [3210], 1, None, None), ("[席] Aブロック / ¥1,100 Bブロック / ¥2,200", [1100, 2200], 2, None, None), ("[前方] ¥7,000 [後方] ¥5,000 [立見] ¥3,000", [3000, 5000, 7000], 3, None, None), ("全席 / ¥4,321（税込）", [4321], 1, True, None), ("立見 / ¥2,000（税抜）", [2000], 1, False, None),
+        ("立見 / ¥2,500（税込） ドリンク代 ¥700 別", [700, 2500], 1, True, 700), ("無料", [], 0, None, None),
     ],
 )
 def test_ticket_text(spark, raw, prices, n, tax, fee):
@@ -70,7 +73,7 @@ def test_provider_ids(spark):
     assert one(spark, urls.offer_id(F.lit("e1"), F.col("a")), a="https://t.pia.jp/pia/event/event.do?eventCd=9") == "offer:pia:9"
     assert one(spark, urls.offer_id(F.lit("e1"), F.col("a")), a="https://x.jp/a") == "offer:e1:other:https%3A%2F%2Fx.jp%2Fa"
     assert one(spark, urls.canonical_social(F.col("a")), a="https://me:pw@x.com/a") is None
-    assert one(spark, urls.canonical_social(F.col("a")), a="https://x.com/a?token=1&b=2") == "https://x.com/a?b=2"
+    assert one(spark, urls.canonical_social(F.col("a")), a="https://x.com/a?access_token=1&SI=3&utm_any=4&b=2&token=5") == "https://x.com/a?b=2&token=5"
 
 
 def test_status(spark):
@@ -92,9 +95,12 @@ def test_clock(spark):
     now = at("2026-08-01 12:00:00")
     group = lambda x, z="UTC": one(spark, clock.deadline_group(at(x), now, z))
     assert [group(None), group("2026-08-01 11:59:59"), group("2026-08-01 12:00:00"), group("2026-08-08 12:00:00"), group("2026-08-09"), group("2026-08-02 01:00:00"), group("2026-08-01 16:00:00", "Asia/Tokyo")] == ["unknown", "overdue", "today", "week", "later", "week", "week"]
-    assert one(spark, clock.retry_delay_ms(F.lit(1), F.lit("5"), F.lit(0))) == 5000 and one(spark, clock.retry_delay_ms(F.lit(1), F.lit("900"), F.lit(0))) == 60_000 and one(spark, clock.retry_delay_ms(F.lit(2), F.lit(None).cast("string"), F.lit(7))) == 4007
+    asked = lambda v: one(spark, clock.retry_after_ms(F.lit(v), now))
+    assert [asked(x) for x in ("5", "0.25", "-1", "", None, "soon", "Sat, 01 Aug 2026 12:00:30 GMT", "Sat, 01 Aug 2026 11:00:00 GMT")] == [5000, 250, None, None, None, None, 30_000, 0]
+    wait = lambda n, ms, r: one(spark, clock.retry_delay_ms(F.lit(n), F.lit(ms).cast("long"), F.lit(r)))
+    assert [wait(1, 900_000, 0.0), wait(1, 0, 0.5), wait(0, None, 0.5), wait(1, None, 0.0), wait(3, None, 1.0), wait(20, None, 0.5), wait(2, None, 7.0)] == [60_000, 0, 500, 375, 2500, 30_000, 1250]
     assert one(spark, clock.months_from(F.lit("2026-11-15").cast("date"), 3)) == ["2026-11", "2026-12", "2027-01"]
-    assert one(spark, clock.countdown(at("2026-08-02 13:30:00"), now)) == "1d 1h" and one(spark, clock.countdown(at("2026-07-01"), now)) == "0m"
+    assert one(spark, clock.countdown(at("2026-08-02 13:30:00"), now)) == "1 天 1 小时 30 分钟" and one(spark, clock.countdown(at("2026-07-01"), now)) == "0 分钟" and one(spark, clock.countdown(at("2026-08-02 12:05:59"), now)) == "1 天 5 分钟"
     assert [one(spark, clock.freshness_bucket(F.lit(x).cast("double"))) for x in (None, float("nan"), 23, 24, 168, 169)] == ["unknown", "<24h", "<24h", "1-3d", "3-7d", ">7d"]
 
 

@@ -1,3 +1,6 @@
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,14 +16,18 @@ def rows(df, *columns):
     ("field", "found", "state", "value", "approval"),
     [
         ("prices", [("[9900]", "published"), ("[9900]", "published")], "published", "[9900]", "pending_review"), ("startTime", [("18:00", "published"), ("19:00", "published")], "conflicting_sources", None, "conflict"),
-        ("purchaseUrls", [("B", "published"), ("A", "published")], "published", "A\nB", "pending_review"), ("title", [(None, "not_announced"), (None, "not_checked")], "not_checked", None, "pending_review"), ("title", [(None, "parser_failed")], "parser_failed", None, "pending_review"),
+        ("purchaseUrls", [('["B"]', "published"), ('["A","B"]', "published")], "published", '["A","B"]', "pending_review"), ("prices", [("[10000,900]", "published"), ("[900,8000]", "published"), ("[1]", "not_checked")], "published", "[900,8000,10000]", "pending_review"), ("title", [(None, "not_announced"), (None, "not_checked")], "not_checked", None, "pending_review"), ("title", [(None, "parser_failed")], "parser_failed", None, "pending_review"),
     ],
 )
 def test_merge_evidence(spark, field, found, state, value, approval):
-    df = spark.createDataFrame([("c", field, v, s, f"h{i}", 0.5 + i / 10) for i, (v, s) in enumerate(found)], "id string, field string, value_json string, availability_status string, evidence_hash string, confidence double")
+    items = lambda v: [json.dumps(x) for x in json.loads(v)] if v and v[0] == "[" else None
+    df = spark.createDataFrame([("c", field, v, items(v), s, f"h{i}", 0.5 + i / 10) for i, (v, s) in enumerate(found)], "id string, field string, value_json string, items array<string>, availability_status string, evidence_hash string, confidence double")
     (r,) = fusion.merge_evidence(df, ["id"]).collect()
     assert (r["availability_status"], r["value_json"], r["approval_state"]) == (state, value, approval)
     assert (r["approval_hash"] is None) == (approval == "conflict")
+    if state == "published" and value != found[0][0]:  # a union: its text, then the sorted hashes of what was published
+        hashes = sorted(f"h{i}" for i, (_, x) in enumerate(found) if x == "published")
+        assert r["approval_hash"] == hashlib.sha256("|".join([value, *hashes]).encode()).hexdigest()
     assert fusion.merge_evidence(df.repartition(3).orderBy(F.rand(1)), ["id"]).collect() == [r]
 
 
@@ -144,7 +151,7 @@ def test_records(spark, tmp_path):
     back, lost = records.from_backup(records.to_backup(new, 5, ["k", "v"]), "k int, v string", old, "k")
     assert rows(back, "k") == [(1,), (2,)] and rows(lost, "k") == [(3,)]
     wall = lambda h, u: spark.range(1).select(records.access_restricted(F.lit(h), F.lit(u))).first()[0]
-    assert wall("<p>Verify you are human</p>", "https://x.jp/a") and wall("ok", "https://x.jp/login") and not wall("<script src='recaptcha.js'></script>ok", "https://x.jp/a") and wall("<input type='password'> Log in", "https://x.jp/")
+    assert wall("<p>Human verification</p>", "https://x.jp/a") and wall("ok", "https://x.jp/login") and not wall("<script src='recaptcha.js'></script>ok", "https://x.jp/a") and wall("<input type='password'> Login", "https://x.jp/")
 
 
 def test_streaming(spark, tmp_path):
