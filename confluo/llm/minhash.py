@@ -30,7 +30,7 @@ WIDTH = 5  # words in a shingle
 COORDINATES, MATCH = 48, 22
 LEAST = 0.75
 PART = 500  # members that meet one copy of their leader
-BLOCK, MEMBERS, SHINGLES = 256, 512, 1_000_000  # sets of a block, sets that it meets in a task, and shingles of either, at most (on average)
+BLOCK, MEMBERS, SHINGLES = 128, 256, 1_000_000  # sets of a block, sets that it meets in a task, and shingles of either, at most (on average)
 Stash = Callable[[DataFrame, str], DataFrame]
 
 
