@@ -5,7 +5,7 @@ vectors, each lane modulo a power of two. So equal multisets of paragraphs have
 paragraph is inserted or deleted by adding or subtracting its vector. A vector has three parts: EXACT lanes modulo 2^64
 that tell texts apart, a count of units modulo 2^32, and SKETCH lanes modulo 2^16 to which each unit of the paragraph
 (a sentence; long ones are cut after words picked by their content) adds +1 or -1. The mean square of the difference
-of two sketches estimates how many units two documents do not share, and from that their likeness.
+of two sketches estimates how many units two documents do not share, and from that, against what each has, their likeness.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .shared import bounded, columns
 EXACT, SKETCH = 8, 128
 WIDTH = 8 * EXACT + 4 + 2 * SKETCH  # bytes of a fingerprint
 
-#: A unit ends after ". ", and in a long sentence after a word whose last two letters are of this small set.
-UNIT = re.compile(rb"[^.!?]*?(?:(?:[.!?]+|[aeiou][nrst])\s|$)|[^.!?]+|[.!?]+", re.S)
+#: A unit ends after the marks of a sentence, and in a long sentence after a word whose last two letters are of this small set.
+UNIT = re.compile(rb"[^.!?]*?(?:[.!?]+(?:\s|$)|[aeiou][nrst]\s|$)|[^.!?]+|[.!?]+", re.S)
 
 
 def units(paragraph: bytes) -> list[bytes]:
@@ -99,10 +99,13 @@ def vectors(texts: list[str]) -> Vectors:
 
 
 def likeness(a: Vectors, b: Vectors) -> np.ndarray:
-    """0 to 1: 1 for equal fingerprints, else 1 - (units not shared) / (units of both), as estimated from the sketches."""
-    apart = (a.sketch - b.sketch).astype(np.int16).astype(float)
-    total = a.count.astype(float) + b.count.astype(float)
-    out = np.clip(1 - (apart**2).mean(axis=1) / np.maximum(total, 1), 0, 1)
+    """0 to 1: 1 for equal fingerprints, else 1 - (units not shared) / (units of both), as estimated from the sketches.
+
+    The mean square of a sketch estimates the sum of squares of how often each unit comes, which is the number of units where
+    all differ. Where units repeat (a line said over and over) it is more, above and below the line alike."""
+    size = lambda x: (x.astype(np.int16).astype(float) ** 2).mean(axis=1)
+    total = np.maximum(a.count.astype(float) + b.count.astype(float), size(a.sketch) + size(b.sketch))
+    out = np.clip(1 - size(a.sketch - b.sketch) / np.maximum(total, 1), 0, 1)
     same = (a.exact == b.exact).all(axis=1) & (a.count == b.count) & (a.sketch == b.sketch).all(axis=1)
     return np.where(same, 1.0, np.minimum(out, 1 - 1e-9))
 
