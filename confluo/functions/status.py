@@ -55,7 +55,18 @@ def event_type(title: Column, n_artists: Column) -> Column:
 
 
 def source_family(source_type: Column) -> Column:
-    return F.when(source_type.startswith("artist"), "artist").when(source_type.startswith("venue"), "venue").when(source_type.startswith("promoter"), "promoter").when(source_type.startswith("ticket"), "ticket").when(source_type == "official_api", "api").otherwise("other")
+    """The family of a source by how its type begins, as the publishing guard counts families; of others the type itself."""
+    c = F.lower(F.coalesce(source_type, F.lit("")))
+    starts = lambda *names: c.rlike(f"^(?:{'|'.join(names)})")
+    return F.when(starts("artist"), "artist").when(starts("venue"), "venue").when(starts("promoter", "organizer"), "promoter").when(starts("ticket", "playguide"), "ticket").when(c.contains("api"), "api").otherwise(c)
+
+
+def coverage_family(source_type: Column) -> Column:
+    """The family of a source by what its type holds, as the report of coverage counts families; none is unknown."""
+    c, out = F.coalesce(source_type, F.lit("")), F.nullif(F.coalesce(source_type, F.lit("")), F.lit(""))
+    for part, name in reversed((("artist", "artist"), ("venue", "venue"), ("promoter", "promoter"), ("ticket", "ticket"), ("api", "structured_api"))):
+        out = F.when(c.contains(part), name).otherwise(out)
+    return F.coalesce(out, F.lit("unknown"))
 
 
 def outcome(http: Column, matched: Column, parsed: Column) -> Column:
