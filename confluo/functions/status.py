@@ -56,7 +56,7 @@ def event_type(title: Column, n_artists: Column) -> Column:
 
 def source_family(source_type: Column) -> Column:
     """The family of a source by how its type begins, as the publishing guard counts families; of others the type itself."""
-    c = F.lower(F.coalesce(source_type, F.lit("")))
+    c = F.coalesce(source_type, F.lit("unknown"))
     starts = lambda *names: c.rlike(f"^(?:{'|'.join(names)})")
     return F.when(starts("artist"), "artist").when(starts("venue"), "venue").when(starts("promoter", "organizer"), "promoter").when(starts("ticket", "playguide"), "ticket").when(c.contains("api"), "api").otherwise(c)
 

@@ -134,7 +134,7 @@ TYPE = "CASE s_suppkey % 10 WHEN 0 THEN 'artist_official' WHEN 1 THEN 'promoter_
 
 @query(f"""WITH t AS (SELECT s_suppkey, {TYPE} AS t FROM supplier), u AS (SELECT *, coalesce(t, '') AS v FROM t)
 SELECT s_suppkey, CASE t WHEN 'artist_official' THEN 1.0::DOUBLE WHEN 'promoter_official' THEN 0.98 WHEN 'venue_official' THEN 0.96 WHEN 'ticket_official' THEN 0.94 WHEN 'official_api' THEN 0.9 WHEN 'ticket_api' THEN 0.9 ELSE 0.7 END AS confidence,
-CASE WHEN starts_with(v, 'artist') THEN 'artist' WHEN starts_with(v, 'venue') THEN 'venue' WHEN starts_with(v, 'promoter') OR starts_with(v, 'organizer') THEN 'promoter' WHEN starts_with(v, 'ticket') OR starts_with(v, 'playguide') THEN 'ticket' WHEN contains(v, 'api') THEN 'api' ELSE v END AS family,
+CASE WHEN starts_with(v, 'artist') THEN 'artist' WHEN starts_with(v, 'venue') THEN 'venue' WHEN starts_with(v, 'promoter') OR starts_with(v, 'organizer') THEN 'promoter' WHEN starts_with(v, 'ticket') OR starts_with(v, 'playguide') THEN 'ticket' WHEN contains(v, 'api') THEN 'api' ELSE coalesce(t, 'unknown') END AS family,
 CASE WHEN contains(v, 'artist') THEN 'artist' WHEN contains(v, 'venue') THEN 'venue' WHEN contains(v, 'promoter') THEN 'promoter' WHEN contains(v, 'ticket') THEN 'ticket' WHEN contains(v, 'api') THEN 'structured_api' WHEN v = '' THEN 'unknown' ELSE v END AS coverage_family FROM u""")
 def source_ranks(spark, d):
     """How sure sources are, and their families as the publishing guard and as the report of coverage count them."""

@@ -123,7 +123,7 @@ def test_calendar(spark):
 def test_html(spark):
     page = """<div class="card"><a href="/x">One</a><br><a class="k" href="/y">Two <b>2</b></a></div><table><tr><th>Price</th><td>¥9,900</td></tr></table>
 <script type="application/ld+json">{"@graph": [{"@type": "MusicEvent", "name": "Live", "startDate": "2026-01-02T18:00", "location": {"name": "Hall"}}, {"@type": "Place"}]}</script><script type="application/ld+json">{broken</script>
-<script id="__NEXT_DATA__">{"a": [{"title": "T", "date": "2026-01-01", "venue": "V"}, {"title": "T", "date": "2026-01-01", "venue": "V"}]}</script>"""
+<script id="__NEXT_DATA__">{"a": [{"title": "T", "date": "2026-01-01", "venue": {"name": "V"}}, {"title": "T", "date": "2026-01-01", "location": {"name": "V"}}, {"title": "text alone", "date": "2026-01-01", "venue": "V"}]}</script>"""
     html.register(spark)
     spark.createDataFrame([(page,)], "html string").createOrReplaceTempView("raw_pages")
     sql = lambda q: [tuple(r) for r in spark.sql(q).collect()]
@@ -131,7 +131,7 @@ def test_html(spark):
     assert sql("SELECT t.* FROM raw_pages, LATERAL html_table(html) t") == [("Price", "¥9,900")]
     found = sql("SELECT t.title, t.date, t.venue_name, t.error IS NULL FROM raw_pages, LATERAL json_ld_events(html) t")
     assert found == [("Live", "2026-01-02", "Hall", True), (None, None, None, False)]
-    assert sql("SELECT t.* FROM raw_pages, LATERAL embedded_events(html) t") == [("T", "2026-01-01", "V")]
+    assert sql("SELECT t.title, t.date, t.venue_name FROM raw_pages, LATERAL embedded_events(html) t") == [("T", "2026-01-01", "V")]
 
 
 def test_records(spark, tmp_path):
