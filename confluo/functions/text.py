@@ -92,25 +92,56 @@ def yen_prices(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.regexp_replace(x, ",", "").try_cast("long")), lambda x: x.isNotNull())))
 
 
+#: How price texts write tax, types of tickets with their prices, what is no part of a type's name, and fees for drinks.
+TAXED, UNTAXED = r"(?iu)税込|tax\s*included", r"(?iu)税別|税抜|tax\s*excluded"
+BRACKET_TYPE, SLASH_TYPE = r"\[([^\]\n]+)\]\s*[¥￥]\s*([\d,]+)", r"(?:^|[\]\s])([^¥￥\n]+?)\s*[/／:：]\s*[¥￥]\s*([\d,]+)"
+TYPE_NAME_RULES = (r"(?iu)^.*(?:\[PRICE\]|PRICE)\s*", r"(?iu)^(?:PRICE|料金|チケット)\s*", r"^[\[\]\s]+|[\[\]\s]+$")
+DRINK_PRICE, DRINK_DUE = r"(?iu)(?:別途\s*)?(?:ドリンク|drink)(?:代|料金|fee)?[^¥￥\d]{0,12}[¥￥]?\s*([\d,]+)", r"(?iu)(?:別途\s*)?(?:ドリンク|drink)(?:代|料金|fee)?[^。、]{0,12}(?:必要|別)"
+DRINK_LABEL = "ドリンク代"
+
+
 def tax_included(c: Column) -> Column:
-    return F.when(c.rlike("税込"), True).when(c.rlike("税別|税抜"), False)
+    """Whether a price text says that tax is within its prices; null if it says nothing."""
+    return F.when(c.rlike(TAXED), True).when(c.rlike(UNTAXED), False)
+
+
+def yen(digits: Column) -> Column:
+    """The number that digits and commas write; commas alone are 0."""
+    plain = F.regexp_replace(digits, ",", "")
+    return F.when((plain == "") & (digits != ""), F.lit(0).cast("long")).otherwise(plain.try_cast("long"))
 
 
 def ticket_types(c: Column) -> Column:
-    """(name, price) of bracketed names before prices, else of names before a slash and a price, else the one price."""
+    """(name, price_jpy): those with a name in brackets before the price, then others with a name before a slash or colon, each
+    once. If there are none: the first price, without a name."""
     text = clean_text(c)
 
-    def pairs(pattern: str) -> Column:
+    def found(pattern: str, rules: tuple[str, ...]) -> Column:
+        def tidy(name: Column) -> Column:
+            for rule in rules:
+                name = F.regexp_replace(name, rule, "")
+            return F.trim(name)
+
         names, prices = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        return F.transform(F.arrays_zip(names.alias("n"), prices.alias("p")), lambda x: F.struct(F.trim(x["n"]).alias("name"), F.regexp_replace(x["p"], ",", "").try_cast("long").alias("price_jpy")))
+        rows = F.transform(F.arrays_zip(names.alias("n"), prices.alias("p")), lambda x: F.struct(tidy(x["n"]).alias("name"), yen(x["p"]).alias("price_jpy")))
+        return F.filter(rows, lambda x: (x["name"] != "") & x["price_jpy"].isNotNull())
 
-    bracket, slash = pairs(r"\[([^\]]+)\]\s*[¥￥]\s*([\d,]+)"), pairs(r"(?:^|(?<=[\]\d）)])\s+)([^/¥￥\[\]]+?)\s*/\s*[¥￥]\s*([\d,]+)")
-    single = F.transform(yen_prices(F.regexp_replace(text, "ドリンク代?[^¥￥]*[¥￥][\\s\\d,]+", "")), lambda p: F.struct(F.lit(None).cast("string").alias("name"), p.alias("price_jpy")))
-    return F.when(F.size(bracket) > 0, bracket).when(F.size(slash) > 0, slash).otherwise(single)
+    bracket = found(BRACKET_TYPE, ())
+    named = F.concat(bracket, F.array_except(found(SLASH_TYPE, TYPE_NAME_RULES), bracket))
+    first = yen(F.regexp_extract(text, r"[¥￥]\s*([\d,]+)", 1))
+    single = F.array_compact(F.array(F.when(first.isNotNull(), F.struct(F.lit(None).cast("string").alias("name"), first.alias("price_jpy")))))
+    return F.when(F.size(named) > 0, named).otherwise(single)
 
 
 def drink_fee(c: Column) -> Column:
-    return F.regexp_replace(F.nullif(F.regexp_extract(clean_text(c), r"ドリンク代?[^¥￥]*[¥￥]\s*([\d,]+)", 1), F.lit("")), ",", "").try_cast("long")
+    return yen(F.regexp_extract(clean_text(c), DRINK_PRICE, 1))
+
+
+def additional_fees(c: Column) -> Column:
+    """(type, label, amount_jpy, required): the fee for a drink, without an amount where the text states none."""
+    text = clean_text(c)
+    fee = F.struct(F.lit("drink").alias("type"), F.lit(DRINK_LABEL).alias("label"), drink_fee(c).alias("amount_jpy"), F.lit(True).alias("required"))
+    return F.array_compact(F.array(F.when(text.rlike(DRINK_PRICE) | text.rlike(DRINK_DUE), fee)))
 
 
 def visible_text(html: Column) -> Column:

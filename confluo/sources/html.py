@@ -15,8 +15,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class Elements(HTMLParser):
-    """Elements in order of their start: tag, attributes, and which pieces of the page's text lie inside. A piece is kept once,
-    however deep it lies; the text of an element is put together when it is asked for."""
+    """Elements in order of their start: tag, attributes, the place of the element around, and which pieces of the page's text lie
+    inside. A piece is kept once, however deep it lies; the text of an element is put together when it is asked for."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -25,7 +25,7 @@ class Elements(HTMLParser):
         self.open: list[int] = []
 
     def handle_starttag(self, tag, attrs):
-        self.found.append({"tag": tag, "attrs": dict(attrs), "from": len(self.pieces), "to": len(self.pieces) if tag in VOID else None})
+        self.found.append({"tag": tag, "attrs": dict(attrs), "up": self.open[-1] if self.open else None, "from": len(self.pieces), "to": len(self.pieces) if tag in VOID else None})
         if tag not in VOID:
             self.open.append(len(self.found) - 1)
 
@@ -46,6 +46,20 @@ class Elements(HTMLParser):
     def text(self, e: dict) -> str:
         return " ".join(self.raw(e).split())
 
+    def around(self, e: dict) -> Iterator[dict]:
+        """The elements around one, the nearest first."""
+        while e["up"] is not None:
+            e = self.found[e["up"]]
+            yield e
+
+    def inside(self, outer: dict, *, tag: str | None = None, of_class: str | None = None) -> list[dict]:
+        """The elements inside one, with this tag and class, in order."""
+        return [e for e in self.found if (tag is None or e["tag"] == tag) and (of_class is None or has_class(e, of_class)) and any(x is outer for x in self.around(e))]
+
+
+def has_class(e: dict, name: str) -> bool:
+    return name in (e["attrs"].get("class") or "").split()
+
 
 def parsed(html: str | None) -> Elements:
     p = Elements()
