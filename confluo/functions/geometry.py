@@ -20,10 +20,11 @@ def box_area(ring: Column) -> Column:
 
 
 def main_rings(rings: Column, least: float = 0.008) -> Column:
-    """Simplified rings of at least that area; if none is, the biggest."""
+    """Simplified rings of at least that area; if none is, the biggest, of equal ones the first."""
     thin = F.filter(F.transform(rings, lambda r: simplify_ring(r)), lambda r: r.isNotNull())
     large = F.filter(thin, lambda r: box_area(r) >= least)
-    biggest = F.array_max(F.transform(thin, lambda r: F.struct(box_area(r).alias("area"), r.alias("ring"))))["ring"]
+    most = F.array_max(F.transform(thin, box_area))
+    biggest = F.get(F.filter(thin, lambda r: box_area(r) == most), F.lit(0))
     return F.when(F.size(large) > 0, large).when(F.size(thin) > 0, F.array(biggest)).otherwise(large)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from confluo.functions import geometry, text
 from confluo.operators import fusion, pairs, ranking, resolution, sets
 from confluo.plans.catalogue import query, table
-from confluo.plans.reads import TODAY
 from confluo.sources import calendar
 
 
@@ -130,28 +129,55 @@ def fuzzy_search_topk(spark, d):
     return resolution.fuzzy_top(asked, table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 0.32, 5)
 
 
-@query()
+NAMED = "CASE p_partkey % 4 WHEN 0 THEN 'ＹＯＡ　ＳＯＢＩ（' || p_name || '）' WHEN 1 THEN 'ｽｰﾊﾟｰ' || p_name WHEN 2 THEN ' スーパー・' || p_name ELSE p_name END"
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 4 AS m, p_name, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS n FROM part)
+SELECT p_partkey, CASE m WHEN 0 THEN 'yoasobi' WHEN 1 THEN 'スーパー' WHEN 2 THEN 'スーパー' ELSE '' END || n AS normal, CASE m WHEN 0 THEN 'yoasobi' WHEN 1 THEN 'すぱ' WHEN 2 THEN 'すぱ' ELSE '' END || n AS folded,
+CASE m WHEN 0 THEN 'ｙｏａ　ｓｏｂｉ（' || lower(p_name) || '）' WHEN 1 THEN 'ｽｰﾊﾟｰ' || lower(p_name) WHEN 2 THEN 'すーぱー・' || lower(p_name) ELSE lower(trim(p_name)) END AS search FROM p""")
 def normalise_names(spark, d):
-    """Normal, folded and split forms of Japanese names; NFKC has no SQL form."""
-    names = ["ＹＯＡＳＯＢＩ", "スーパー・ビーバー", "すーぱー びーばー", "Blue Mash 【Guest】ねぐせ / FOMARE", "hide with Spread Beaver", "梟 →出演キャンセルとなりました", "  Mrs.　GREEN APPLE "]
-    df = spark.createDataFrame(list(enumerate(names)), "seq int, name string")
-    return df.select("seq", text.normalize_name(F.col("name")).alias("normal"), text.fold_japanese(F.col("name")).alias("folded"), text.search_key(F.col("name")).alias("search"), F.array_join(text.split_names(F.col("name")), "|").alias("names"))
+    """Normal and folded forms of names in full and half width; SQL has no NFKC and so states what each becomes."""
+    name = F.expr(NAMED)
+    return table(spark, d, "part").select("p_partkey", text.normalize_name(name).alias("normal"), text.fold_japanese(name).alias("folded"), text.search_key(name).alias("search"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, CAST(p_partkey % 360 AS DOUBLE) AS x, CAST(p_size + 1 AS DOUBLE) / 100 AS s FROM part),
+r AS (SELECT p_partkey, unnest([[[x + 0.001, 1.001], [x + 0.004, 1.004], [x + s, 1.0], [x + s, 1.0 + s], [x, 1.0 + s]], [[x, 5.0], [x + 0.01, 5.0], [x + 0.01, 5.01]], [[x, 7.0], [x + 0.001, 7.0], [x, 7.002]]]) AS ring FROM p),
+t AS (SELECT p_partkey, list_transform(ring, lambda q: [CAST(round(q[1] * 100) AS BIGINT), CAST(round(q[2] * 100) AS BIGINT)]) AS q FROM r), u AS (SELECT p_partkey, list_filter(q, lambda v, k: k = 1 OR v <> q[k - 1]) AS q FROM t), c AS (SELECT p_partkey, CASE WHEN q[1] = q[-1] THEN q ELSE list_append(q, q[1]) END AS q FROM u),
+f AS (SELECT *, (list_max(list_transform(q, lambda v: v[1])) - list_min(list_transform(q, lambda v: v[1]))) * (list_max(list_transform(q, lambda v: v[2])) - list_min(list_transform(q, lambda v: v[2]))) AS area FROM c WHERE len(q) >= 4), g AS (SELECT *, max(area) OVER (PARTITION BY p_partkey) AS most FROM f)
+SELECT p_partkey, count(*) AS n, min(array_to_string(list_transform(q, lambda v: v[1] || ' ' || v[2]), ',')) AS points FROM g WHERE area >= 80 OR (most < 80 AND area = most) GROUP BY 1""")
 def ring_simplify(spark, d):
-    """Rings of points, simplified: the large ones, else the biggest."""
-    df = spark.createDataFrame([(1, [[[139.001, 35.001], [139.004, 35.004], [139.5, 35.0], [139.5, 35.5], [139.0, 35.5], [139.001, 35.001]], [[1.0, 1.0], [1.01, 1.0], [1.01, 1.01], [1.0, 1.01], [1.0, 1.0]]]), (2, [[[1.0, 1.0], [1.02, 1.0], [1.02, 1.02], [1.0, 1.0]]])], "id int, rings array<array<array<double>>>")
-    return df.select("id", F.to_json(geometry.main_rings(F.col("rings"))).alias("rings"))
+    """Rings of points made of parts, simplified: the large ones, else the biggest. Points are written in hundredths."""
+    x, s = (F.col("p_partkey") % 360).cast("double"), (F.col("p_size") + 1).cast("double") / 100
+    ring = lambda *points: F.array(*[F.array(*[F.lit(v).cast("double") if isinstance(v, float) else v for v in p]) for p in points])
+    rings = F.array(ring((x + 0.001, 1.001), (x + 0.004, 1.004), (x + s, 1.0), (x + s, s + 1.0), (x, s + 1.0)), ring((x, 5.0), (x + 0.01, 5.0), (x + 0.01, 5.01)), ring((x, 7.0), (x + 0.001, 7.0), (x, 7.002)))
+    written = lambda r: F.array_join(F.transform(r, lambda p: F.concat_ws(" ", *[F.round(p[i] * 100).cast("long").cast("string") for i in (0, 1)])), ",")
+    rows = table(spark, d, "part").select("p_partkey", geometry.main_rings(rings).alias("rings"))
+    return rows.select("p_partkey", F.size("rings").cast("long").alias("n"), F.array_min(F.transform("rings", written)).alias("points"))
 
 
-@query()
+@query("""SELECT s_suppkey, i AS section, round((s_suppkey % 50 + 10) * cos(i * 2 * pi() / 12), 6) + 0.0 AS x, round((s_suppkey % 50 + 10) * sin(i * 2 * pi() / 12), 6) + 0.0 AS z, round(atan2(0.0 - sin(i * 2 * pi() / 12), 0.0 - cos(i * 2 * pi() / 12)), 6) + 0.0 AS facing FROM supplier, (SELECT CAST(unnest(range(12)) AS INTEGER) AS i)""")
 def polar_ring(spark, d):
-    return spark.range(1, 4).select("id", F.inline(geometry.polar_ring(12, F.col("id") * 10.0)))
+    """Twelve sections on a circle around each supplier; they face the middle at an angle above -pi, up to pi."""
+    rows = table(spark, d, "supplier").select("s_suppkey", F.inline(geometry.polar_ring(12, (F.col("s_suppkey") % 50 + 10).cast("double"))))
+    return rows.select("s_suppkey", "section", *[(F.col(c) + 0.0).alias(c) for c in ("x", "z", "facing")])
+
+
+@query("""SELECT s_suppkey, CAST(i // 4 AS INTEGER) AS row, CAST(i % 4 AS INTEGER) AS column, round((i % 4 - 1.5::DOUBLE) * 1.25::DOUBLE, 6) AS x, round((i // 4 - 1.0::DOUBLE) * 2.5::DOUBLE, 6) AS z FROM supplier, (SELECT unnest(range(12)) AS i)""")
+def seat_grid(spark, d):
+    """Three rows of four sections around the middle of each supplier."""
+    return table(spark, d, "supplier").select("s_suppkey", F.inline(geometry.grid(3, 4, 1.25, 2.5)))
+
+
+NOTICE = "; tickets at the counter, doors open an hour before the start and close with it\\nno entry afterwards"
+_ESCAPED = "replace(replace(replace(replace({0}, '\\', '\\\\'), ';', '\\;'), ',', '\\,'), chr(10), '\\n')"
+_FOLDED = "CASE WHEN length({0}) <= 75 THEN {0} ELSE substr({0}, 1, 75) || chr(13) || chr(10) || ' ' || array_to_string(regexp_extract_all(substr({0}, 76), '.{{1,74}}'), chr(13) || chr(10) || ' ') END"
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 150 MINUTE AS b, 'SUMMARY:' || {_ESCAPED.format("c_name || ', ' || o_orderpriority || '" + NOTICE.replace(chr(92) + "n", "' || chr(10) || '") + "'")} AS s, 'LOCATION:' || {_ESCAPED.format("c_mktsegment")} AS l FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 'order-' || o_orderkey || '@example.org' AS uid, array_to_string(['BEGIN:VEVENT', 'UID:order-' || o_orderkey || '@example.org', 'DTSTART:' || strftime(a, '%Y%m%dT%H%M%SZ'), 'DTEND:' || strftime(b, '%Y%m%dT%H%M%SZ'), {_FOLDED.format("s")}, {_FOLDED.format("l")}, 'END:VEVENT'], chr(13) || chr(10)) AS vevent FROM o""")
 def ics_export(spark, d):
-    """Calendar entries of one month's orders."""
-    rows = table(spark, d, "orders").filter(F.date_format("o_orderdate", "yyyy-MM") == TODAY[:7]).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return calendar.events(rows, F.concat(F.lit("order-"), F.col("o_orderkey"), F.lit("@example.org")), F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 150 MINUTES"), F.concat_ws(", ", "c_name", "o_orderpriority"), F.col("c_mktsegment"))
+    """Calendar entries of orders, with long lines folded. Where all is ASCII, as here, bytes are characters and SQL can fold too."""
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    summary = F.concat(F.concat_ws(", ", "c_name", "o_orderpriority"), F.lit(NOTICE.replace("\\n", "\n")))
+    return calendar.events(rows, F.concat(F.lit("order-"), F.col("o_orderkey"), F.lit("@example.org")), F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 150 MINUTES"), summary, F.col("c_mktsegment"))

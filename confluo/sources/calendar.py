@@ -15,7 +15,8 @@ def escaped(c: Column) -> Column:
 
 
 def utc_stamp(c: Column) -> Column:
-    return F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
+    """An instant in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
 
 
 @F.pandas_udf(StringType())

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confluo.functions import clock, geometry, status, text, urls
+from confluo.sources import calendar
 
 
 def one(spark, column, **values):
@@ -108,3 +109,21 @@ def test_geometry(spark):
     assert one(spark, F.size(geometry.polar_ring(12, F.lit(5.0)))) == 12 and one(spark, F.size(geometry.grid(3, 4, 1.0, 2.0))) == 12
     square = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (0, 0.001), (1, 0), (1, 1), (0, 1))])
     assert one(spark, geometry.simplify_ring(square)) == [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]
+
+
+def test_calendar(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert one(spark, calendar.utc_stamp(F.to_timestamp(F.col("a"))), a="2026-08-12T18:00:00+09:00") == "20260812T090000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    long = "あ" * 60
+    lines = one(spark, calendar.folded(F.col("a")), a=long).split("\r\n ")
+    assert "".join(lines) == long and [len(x.encode()) for x in lines] == [75, 72, 33] and one(spark, calendar.folded(F.col("a")), a="x" * 75) == "x" * 75
+
+
+def test_rings(spark):
+    square = lambda x, s: [[x, 1.0], [x + s, 1.0], [x + s, 1.0 + s], [x, 1.0 + s]]
+    small = [square(0.0, 0.02), square(8.0, 0.02), square(3.0, 0.01)]
+    assert one(spark, F.transform(geometry.main_rings(F.col("a")), lambda r: r[0][0]), a=small) == [0.0]
+    assert one(spark, F.size(geometry.main_rings(F.col("a"))), a=[[[1.0, 1.0], [1.001, 1.0]]]) == 0
