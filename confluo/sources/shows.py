@@ -23,7 +23,7 @@ OWN_SITE, CONTACT = "公式サイト", "問い合わせ"
 QUOTED = re.compile(r"^([0-9]{1,2})/\s*([0-9]{1,2})\s*\([^)]+\)\s*OPEN\s*([0-9]{2}:[0-9]{2})\s*/\s*START\s*([0-9]{2}:[0-9]{2})")
 PREFECTURE = r"^(?:長野|神奈川|大阪|福岡|宮城|愛知)\s+"
 LISTED, LISTED_DATE, LISTED_VENUE, LISTED_TIME = "sched-list", "sched-date", "sched-venue", "sched-time"
-HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿"))
+HIDDEN = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff"))
 
 # What holds for every show of a tour, for each of the two.
 QUOTED_TOUR = {
