@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, hosts, langid, minhash, mixing, multiset, packing, pii, tokens, turns, warc
+from . import gam, hosts, langid, minhash, mixing, multiset, negatives, packing, pii, tokens, turns, warc
 from .shared import columns, scratch, small_batches, table
 
 #: The largest number of tokens that counts as within the limit.
@@ -78,6 +78,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", langid.held_out("doc_id")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    divides = lambda n: F.col("vec_id") % n == 0
+    label = F.when(divides(7), (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), divides(100), label=label)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")), dropped_col="dropped")
 
@@ -93,7 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    own = (op1_token_counts, op2_mixing, op3_near_duplicates, op4_warc, op5_packing, op6_personal_data, op7_quality, op8_host_rules, op9_fingerprints, op10_language, op13_conversation_repair)
+    own = (op1_token_counts, op2_mixing, op3_near_duplicates, op4_warc, op5_packing, op6_personal_data, op7_quality, op8_host_rules, op9_fingerprints, op10_language, op11_hard_negatives, op13_conversation_repair)
     return {f.__name__: with_small_batches(f) for f in own}
 
 
@@ -133,4 +139,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op4_warc": OP4_SQL, "op8_host_rules": hosts.ORACLE_SQL, "op13_conversation_repair": turns.ORACLE_SQL}
+    return {"op2_mixing": OP2_SQL, "op4_warc": OP4_SQL, "op8_host_rules": hosts.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL, "op13_conversation_repair": turns.ORACLE_SQL}
