@@ -243,7 +243,7 @@ def mine(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: st
         windows = windows.select(F.col("anchor").alias("row"), F.transform("w", lambda x: F.struct(x["row"].alias("row"), x["id"].alias("id"), x["score"].alias("score"))).alias("windows"))
         anchors = work(anchors.drop("windows").join(windows, "row"), "anchors")
         names = ("anchor", "anchor_id", "positive", "positive_id", "positive_score", "row", "id", "score")
-        hard = first_by_score(scored(anchors, own, F.lit(0), chunks, best_negatives(negatives, low), names), ("anchor", "positive"), negatives)
+        hard = first_by_score(scored(anchors, own, F.pmod("row", F.lit(1)).cast("int"), chunks, best_negatives(negatives, low), names), ("anchor", "positive"), negatives)
         return stash(hard.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives")
 
 

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, hosts, langid, minhash, mixing, multiset, negatives, packing, pii, tokens, turns, warc
+from . import gam, hosts, langid, minhash, mixing, multiset, negatives, packing, pii, rtree, tokens, turns, warc
 from .shared import columns, scratch, small_batches, table
 
 #: The largest number of tokens that counts as within the limit.
@@ -84,6 +84,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), divides(100), label=label)
 
 
+def op12_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")), dropped_col="dropped")
 
@@ -99,7 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    own = (op1_token_counts, op2_mixing, op3_near_duplicates, op4_warc, op5_packing, op6_personal_data, op7_quality, op8_host_rules, op9_fingerprints, op10_language, op11_hard_negatives, op13_conversation_repair)
+    own = (op1_token_counts, op2_mixing, op3_near_duplicates, op4_warc, op5_packing, op6_personal_data, op7_quality, op8_host_rules, op9_fingerprints, op10_language, op11_hard_negatives, op12_similar_sets, op13_conversation_repair)
     return {f.__name__: with_small_batches(f) for f in own}
 
 
@@ -139,4 +143,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op4_warc": OP4_SQL, "op8_host_rules": hosts.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL, "op13_conversation_repair": turns.ORACLE_SQL}
+    return {"op2_mixing": OP2_SQL, "op4_warc": OP4_SQL, "op8_host_rules": hosts.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL, "op12_similar_sets": rtree.ORACLE_SQL, "op13_conversation_repair": turns.ORACLE_SQL}
