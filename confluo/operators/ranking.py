@@ -24,6 +24,12 @@ def keep_first(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_r")).select(*keys, "_r.*")
 
 
+def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """One row a key, the last by `seq`."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r")).select(*keys, "_r.*")
+
+
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
