@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from confluo.plans import control, enriched, entities, evidence, kept, matching, pages, publishing, reads, reports, shows, sources, users, validation  # noqa: F401  each registers its queries
+    from confluo.plans import control, enriched, entities, evidence, kept, matching, pages, publishing, reads, reports, searching, shows, sources, users, validation  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Query]:
