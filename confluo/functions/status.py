@@ -50,8 +50,21 @@ def display_status(ended: Column, sold_out: Column, resale: Column, lottery: Col
     return F.when(F.coalesce(ended, off), "ended").when(F.coalesce(sold_out, off), "sold_out").when(F.coalesce(resale, off), "resale").when(F.coalesce(lottery, off), "lottery").when(F.coalesce(on_sale, off), "on_sale").otherwise("announced")
 
 
-def event_type(title: Column, n_artists: Column) -> Column:
-    return F.when(F.lower(title).rlike("fes"), "fes").when(n_artists > 1, "taiban").otherwise("oneman")
+FESTIVAL = r"(?iu)(?:festival|フェス|fes\b)"  # a fixed pattern of titles and names
+
+
+def event_type(title: Column, artist_names: Column, n_artists: Column) -> Column:
+    """A festival by title or names, else by how many known artists there are."""
+    said = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.array_join(F.coalesce(artist_names, F.array().cast("array<string>")), " "))
+    return F.when(said.rlike(FESTIVAL), "fes").when(n_artists > 1, "taiban").otherwise("oneman")
+
+
+def published_status(date: Column, hint: Column, phases: Column, today: Column) -> Column:
+    """The status of an event by its phases (kind, status): ended, sold out by its source, else by the best open phase."""
+    on = F.filter(F.coalesce(phases, F.array().cast("array<struct<kind:string,status:string>>")), lambda p: p["status"] == "open")
+    some = lambda test: F.exists(on, lambda p: F.coalesce(test(p["kind"]), F.lit(False)))
+    lottery, general, resale = (lambda k: k.endswith("lottery")), (lambda k: k == "general"), (lambda k: k == "resale")
+    return display_status(date < today, hint == "sold_out", some(resale), some(lottery), some(general))
 
 
 def source_family(source_type: Column) -> Column:
@@ -69,13 +82,22 @@ def coverage_family(source_type: Column) -> Column:
     return F.coalesce(out, F.lit("unknown"))
 
 
-def outcome(http: Column, matched: Column, parsed: Column) -> Column:
-    """The next state of a fetched job."""
-    return F.when(http.isin(401, 403), "blocked").when(http.between(400, 499) & (http != 429), "invalid").when((http >= 500) | (http == 429) | http.isNull(), "deferred").when(~parsed, "deferred").when(matched, "done").otherwise("unmatched")
+#: Attempts of one run, and hours until a job is looked at again by its priority, and after a failure.
+ATTEMPTS, RECHECK_HOURS, RETRY_HOURS = 3, {"high": 6, "medium": 48, "low": 168}, 24
+
+
+def outcome(http: Column, matched: Column, parsed: Column, attempts: Column | None = None) -> Column:
+    """The next state of a fetched job. Too many requests (429) is put off while the run has attempts left, then counts as the
+    client error it is; without an answer, or with a server's error, the job is put off."""
+    left = F.lit(True) if attempts is None else attempts < ATTEMPTS
+    refused = F.when(http.isin(401, 403), "blocked").when((http == 429) & left, "deferred").when(http.between(400, 499), "invalid")
+    return refused.when((http >= 500) | http.isNull(), "deferred").when(~parsed, "deferred").when(matched, "done").otherwise("unmatched")
 
 
 def next_check(status: Column, priority: Column, now: Column) -> Column:
-    return F.when(status.isin("invalid", "blocked"), None).when(priority == "high", now + F.expr("INTERVAL 6 HOURS")).when(priority == "medium", now + F.expr("INTERVAL 48 HOURS")).otherwise(now + F.expr("INTERVAL 7 DAYS"))
+    """When to look again: never after a refusal, a day after a failure, else by priority."""
+    hours = F.when(status == "deferred", RETRY_HOURS).when(priority == "high", RECHECK_HOURS["high"]).when(priority == "medium", RECHECK_HOURS["medium"]).otherwise(RECHECK_HOURS["low"])
+    return F.when(~status.isin("invalid", "blocked"), now + F.make_dt_interval(hours=hours))
 
 
 def percentage(count: Column, total: Column) -> Column:
