@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded, columns, remainder_of_id
@@ -277,17 +277,28 @@ def pair_slope(p: np.ndarray, gold: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows that are not held out and have a language and an id: of each language about `per_language`, picked by
-    hash of the id and text, each with its whole text. That number of rows bounds what the driver holds. Other columns
-    are ignored, whatever their names. Without such rows the model knows no language."""
+def sampled(docs: DataFrame, per_language: int, most_bytes: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """id, text, lang: of each language the first `per_language` different rows by hash of id and text, as far as their texts
+    together have `most_bytes` bytes at most. Copies of a row count once. Rows are picked by numbers alone; texts are read for
+    those that were picked."""
     own = columns(docs, [id_col, text_col, lang_col]).toDF("id", "text", "lang").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    counts = {r[0]: r[1] for r in own.groupBy("lang").agg(F.count("*")).collect()}  # a row for each language
-    if not counts:
+    own = own.withColumn("h", F.xxhash64("id", "text"))
+    keys = own.groupBy("lang", "h").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes")).filter(F.col("bytes") <= most_bytes)
+    first = Window.partitionBy("lang").orderBy("h")
+    keys = keys.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
+    keys = keys.withColumn("total", F.sum("bytes").over(first)).filter(F.col("total") <= most_bytes).select("lang", "h")
+    picked = own.join(F.broadcast(keys), ["lang", "h"])  # per_language rows a language at most
+    return picked.groupBy("lang", "h").agg(F.any_value("id").alias("id"), F.any_value("text").alias("text")).select("id", "text", "lang")
+
+
+def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = 16 << 20) -> Model:
+    """Learn from rows that are not held out and have a language and an id: of each language `per_language` different rows at
+    most, picked by hash of the id and text, each with its whole text, and `most_bytes` (16 MB) of text at most. So the driver
+    holds a bounded sample of each language, however many copies a row has and however long texts are. Other columns are
+    ignored, whatever their names. Without such rows the model knows no language."""
+    got = sampled(docs, per_language, most_bytes, id_col, text_col, lang_col).toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    if not len(got):
         return Model([])
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1_000_000, -(-1_000_000 * per_language // n)))]), F.col("lang"))
-    sample = own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share)
-    got = sample.toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return train(Sample.of(got.column("text"), got.column("lang").to_pylist()))
 
 
