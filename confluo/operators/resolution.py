@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.functions import text
@@ -85,21 +87,90 @@ def match_score(same_date, venue, same_time, artist, title):
     return (F.when(same_date, 0.35).otherwise(0.0) + F.when(venue >= 0.75, 0.3).otherwise(0.0) + F.when(same_time, 0.15).otherwise(0.0) + F.when(artist >= 0.75, 0.15).otherwise(0.0) + F.when(title >= 0.6, 0.05).otherwise(0.0))
 
 
-def similar_venues(observations: DataFrame, events: DataFrame) -> DataFrame:
-    """venue_name, other_venue: names of observations and unequal ones of events with an overlap of 0.75 or more, each
-    pair once. Of such names one shares a character among the first of its sorted ones (all but three quarters, and one)
-    with the other."""
-
-    def chars(df: DataFrame, name: str, part: bool) -> DataFrame:
-        own = F.array_distinct(F.split(name, ""))
-        n = F.size(own) - F.ceil(F.size(own) * 0.75).cast("int") + 1
-        return df.select(name, F.explode(F.slice(F.sort_array(own, False), F.lit(1), n) if part else own).alias("_c"))
-
-    one = observations.select("venue_name").filter("venue_name <> ''").distinct()
-    two = events.select(F.col("venue_name").alias("other_venue")).filter("other_venue <> ''").distinct()
-    met = chars(one, "venue_name", True).join(chars(two, "other_venue", False), "_c").unionByName(chars(one, "venue_name", False).join(chars(two, "other_venue", True), "_c"))
-    met = met.select("venue_name", "other_venue").filter("venue_name <> other_venue").distinct()
-    return met.filter(text.overlap_score(F.col("venue_name"), F.col("other_venue")) >= 0.75)
+def similar_names(one: DataFrame, two: DataFrame, threshold: float) -> DataFrame:
+    """name, other: of two tables of distinct names (name; other), not empty, those with an overlap of `threshold` or more, equal
+    ones included. Of two such names one has a character among its rarest ones (all but `threshold` of them, and one) that the
+    other has too, so names meet by those."""
+    letters = lambda df, name: df.select(name, F.explode(F.array_distinct(F.split(name, ""))).alias("_c"))
+    counts = letters(one, "name").select("_c").unionByName(letters(two, "other").select("_c")).groupBy("_c").agg(F.count("*").alias("_n"))
+
+    def rare(df: DataFrame, name: str) -> DataFrame:
+        own = letters(df, name).join(counts, "_c").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("_n", "_c"))).alias("_l"))
+        n = F.size("_l") - F.ceil(F.size("_l") * threshold).cast("int") + 1
+        return own.select(name, F.explode(F.slice("_l", F.lit(1), n)).alias("_x")).select(name, "_x._c")
+
+    met = rare(one, "name").join(letters(two, "other"), "_c").unionByName(letters(one, "name").join(rare(two, "other"), "_c"))
+    met = met.select("name", "other").distinct()
+    return met.filter(text.overlap_score(F.col("name"), F.col("other")) >= threshold)
+
+
+#: The facts that an observation and an event may agree in, their weights in the order they add up, and how alike names must be.
+FACTS = (("date", 0.35), ("venue_name", 0.3), ("start_time", 0.15), ("artist_names", 0.15), ("title", 0.05))
+ALIKE = {"venue_name": 0.75, "artist_names": 0.75, "title": 0.6}
+DATE_VENUE, DATE_VENUE_TIME = 0b00011, 0b00111
+
+
+def worth(mask: int) -> float:
+    total = 0.0
+    for i, (_, weight) in enumerate(FACTS):
+        total += weight if mask >> i & 1 else 0.0
+    return total
+
+
+#: The facts whose values are alike rather than equal, by place, and the others.
+LIKE, EQUAL = {1: "venue_name", 3: "artist_names", 4: "title"}, {0: "date", 2: "start_time"}
+
+
+def values_of(df: DataFrame, name: str) -> Column:
+    """The values of a fact that are there, as a list."""
+    c = F.array_distinct(F.coalesce(F.col(name), F.array().cast("array<string>"))) if name == "artist_names" else F.array(name)
+    return F.filter(c, lambda v: v.isNotNull() & (v != ""))
+
+
+def with_equal_facts(rows: DataFrame) -> DataFrame:
+    """mask, key and the other columns: a row for each set of the equal facts with the alike ones of the row. rows: like (its mask),
+    parts (its values, a list), date, start_time."""
+    out = []
+    for chosen in range(1 << len(EQUAL)):
+        names = [(i, name) for n, (i, name) in enumerate(EQUAL.items()) if chosen >> n & 1]
+        mask = F.col("like") + sum(1 << i for i, _ in names)
+        there = F.lit(True)
+        for _, name in names:
+            there = there & (F.coalesce(F.col(name), F.lit("")) != "")
+        out.append(F.when(there & (mask > 0), F.struct(mask.cast("int").alias("mask"), F.array_join(F.concat(F.array(mask.cast("string")), F.array(*[F.col(n) for _, n in names]).cast("array<string>"), F.col("parts")), "\x01").alias("key"))))
+    found = rows.withColumn("_k", F.array_compact(F.array(*out)))
+    return found.withColumn("_k", F.explode("_k")).select(*[c for c in rows.columns if c not in ("like", "parts", "date", "start_time")], "_k.*")
+
+
+def like_combinations(observations: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets of alike facts with their values, of events and of observations, as rows of obs_id or id, like, parts, date, start_time.
+
+    An observation gets those combinations of names alike to its own that some event has: names of one fact are looked up
+    among the distinct combinations, and the others' held against what is alike, so no product of lists is made."""
+    e = events.select("id", "date", "start_time", *[F.explode_outer(values_of(events, n)).alias(n) if n == "artist_names" else F.get(values_of(events, n), F.lit(0)).alias(n) for n in LIKE.values()])
+    own = observations.select("obs_id", "date", "start_time")
+    for name, threshold in ALIKE.items():
+        asked = observations.select("obs_id", F.explode(values_of(observations, name)).alias("name"))
+        pairs = asked.join(similar_names(asked.select("name").distinct(), e.select(F.col(name).alias("other")).filter("other is not null").distinct(), threshold), "name")
+        own = own.join(pairs.groupBy("obs_id").agg(F.collect_set("other").alias(f"_{name}")), "obs_id", "left")
+    of_events, of_observations = [], []
+    for like in range(1 << len(LIKE)):
+        names = [n for i, n in enumerate(LIKE.values()) if like >> i & 1]
+        mask = sum(1 << i for i, n in LIKE.items() if n in names)
+        there = F.lit(True)
+        for n in names:
+            there = there & F.col(n).isNotNull()
+        parts = F.array(*[F.col(n) for n in names]).cast("array<string>")
+        of_events.append(e.filter(there).select("id", F.lit(mask).alias("like"), parts.alias("parts"), "date", "start_time").distinct())
+        rows = own
+        if names:
+            first = max(names, key=lambda n: ("venue_name", "title", "artist_names").index(n))  # the one that fewest combinations share, most likely
+            rows = own.withColumn("_one", F.explode(f"_{first}")).join(e.filter(there).select(*names).distinct(), F.col("_one") == F.col(first))
+            for n in names:
+                rows = rows if n == first else rows.filter(F.array_contains(f"_{n}", F.col(n)))
+        of_observations.append(rows.select("obs_id", F.lit(mask).alias("like"), parts.alias("parts"), "date", "start_time"))
+    union = lambda frames: reduce(lambda x, y: x.unionByName(y), frames)
+    return union(of_events), union(of_observations)
 
 
 def match_observations(observations: DataFrame, events: DataFrame) -> DataFrame:
@@ -108,31 +179,35 @@ def match_observations(observations: DataFrame, events: DataFrame) -> DataFrame:
     observations: obs_id, date, venue_name, start_time, title, artist_names and, if a source chain hints at an event, hint_id;
     events: the same with id. All names normalised. A hinted event of a score of 0.65 or more is confirmed, unless others
     share its date and venue and its time differs. Else one event of the same date and venue is confirmed; of several, one
-    with the same time. Else the best score of 0.45 or more is probable, of equal ones the event with the smallest id.
-    Only a shared date, or a venue with time and another fact, reaches 0.45, so candidates come from equi joins on the
-    date, and for the rest on equal venue names and on similar ones, matched once a pair of names: no pair is scored
-    twice. The score of an unmatched observation is the best of its candidates.
+    with the same time. Else the best score of 0.45 or more is probable, of equal ones the event with the smallest id. Others
+    are unmatched; their score is the best of all events.
+
+    Observations and events never meet in pairs. Events are counted by each set of facts they may agree in (31 of five), with
+    the smallest id of each group; an observation looks up the groups of its own facts, with names that are alike to its
+    own, as far as events have them together. The best set that has a group is the best score, and its smallest id the event, as an event that agreed in more
+    would be in a better group. So a date or venue with many events is one row for each set of facts.
     """
-    o, e = observations.alias("o"), events.alias("e")
-    dated = o.join(e, F.col("o.date") == F.col("e.date"))
-    apart = ~F.coalesce(F.col("o.date") == F.col("e.date"), F.lit(False))
-    other = o.join(e, (F.col("o.venue_name") == F.col("e.venue_name")) & apart)
-    names = similar_venues(observations, events).alias("v")
-    near = o.join(names, F.col("o.venue_name") == F.col("v.venue_name")).join(e, (F.col("v.other_venue") == F.col("e.venue_name")) & apart)
+    theirs, mine = like_combinations(observations, events)
+    groups = with_equal_facts(theirs).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    asks = with_equal_facts(mine)
+    score = F.element_at(F.array(*[F.lit(worth(m)) for m in range(1, 1 << len(FACTS))]), F.col("mask"))
+    hits = asks.join(groups, "key").withColumn("score", score)
+    has = lambda mask: F.col("mask").bitwiseAND(mask) == mask
+    found = hits.groupBy("obs_id").agg(
+        F.coalesce(F.sum(F.when(F.col("mask") == DATE_VENUE, F.col("n"))), F.lit(0)).alias("n_same"), F.coalesce(F.sum(F.when(F.col("mask") == DATE_VENUE_TIME, F.col("n"))), F.lit(0)).alias("n_timed"),
+        F.struct(F.min(F.when(F.col("mask") == DATE_VENUE, F.col("id"))).alias("event_id"), F.max(F.when(has(DATE_VENUE), F.col("score"))).alias("score")).alias("one"),
+        F.struct(F.min(F.when(F.col("mask") == DATE_VENUE_TIME, F.col("id"))).alias("event_id"), F.max(F.when(has(DATE_VENUE_TIME), F.col("score"))).alias("score")).alias("exact"),
+        F.min_by(F.struct(F.col("id").alias("event_id"), "score"), F.struct(-F.col("score"), F.col("id"))).alias("best"),
+    )
+
     best_artist = F.coalesce(F.array_max(F.flatten(F.transform("o.artist_names", lambda x: F.transform(F.col("e.artist_names"), lambda y: text.overlap_score(x, y))))), F.lit(0.0))
     same_time = F.coalesce((F.col("o.start_time") == F.col("e.start_time")) & (F.col("o.start_time") != ""), F.lit(False))
 
     def scored(joined: DataFrame) -> DataFrame:
         venue = text.overlap_score(F.col("o.venue_name"), F.col("e.venue_name"))
-        score = match_score(F.coalesce(F.col("o.date") == F.col("e.date"), F.lit(False)), venue, same_time, best_artist, text.overlap_score(F.col("o.title"), F.col("e.title")))
-        same = F.coalesce((F.col("o.date") == F.col("e.date")) & (venue >= 0.75), F.lit(False))
-        return joined.select("o.obs_id", F.col("e.id").alias("event_id"), score.alias("score"), same.alias("same"), (same & same_time).alias("timed"))
-
-    both = scored(dated).unionByName(scored(other)).unionByName(scored(near))
-    found = both.groupBy("obs_id").agg(
-        F.count_if("same").alias("n_same"), F.count_if("timed").alias("n_timed"), F.max(F.when(F.col("same"), F.struct("event_id", "score"))).alias("one"), F.max(F.when(F.col("timed"), F.struct("event_id", "score"))).alias("exact"),
-        F.min_by(F.struct("event_id", "score"), F.struct(-F.col("score"), F.col("event_id"))).alias("best"),
-    )
+        of_pair = match_score(F.coalesce((F.col("o.date") == F.col("e.date")) & (F.col("o.date") != ""), F.lit(False)), venue, same_time, best_artist, text.overlap_score(F.col("o.title"), F.col("e.title")))
+        return joined.select("o.obs_id", F.col("e.id").alias("event_id"), of_pair.alias("score"))
+
     confirmed = lambda x, reason: F.struct(F.col(f"{x}.event_id").alias("event_id"), F.lit("confirmed").alias("level"), F.lit(reason).alias("reason"), F.col(f"{x}.score").alias("score"))
     result = (
         F.when(F.col("hint").isNotNull(), confirmed("hint", "source_chain_match")).when(F.col("n_same") == 1, confirmed("one", "date_venue")).when((F.col("n_same") > 1) & (F.col("n_timed") == 1), confirmed("exact", "date_venue_time"))

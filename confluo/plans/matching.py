@@ -41,7 +41,7 @@ FROM o CROSS JOIN e JOIN v ON v.a = o.venue_name AND v.b = e.venue_name),
 s AS (SELECT *, CASE WHEN same_date THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN same_venue THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN same_time THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN same_artist THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN same_title THEN 0.05::DOUBLE ELSE 0 END AS score FROM p),
 h AS (SELECT s.obs_id, s.id, s.score FROM s JOIN (SELECT a.id, count(*) AS n FROM e a JOIN e b ON a.date = b.date JOIN w ON w.a = a.venue_name AND w.b = b.venue_name GROUP BY 1) c ON c.id = s.id WHERE s.hint_id = s.id AND s.score >= 0.65 AND (NOT (c.n > 1 AND s.e_time <> '') OR s.same_time)),
 g AS (SELECT obs_id, count(*) FILTER (WHERE same_date AND same_venue) AS n_same, count(*) FILTER (WHERE same_date AND same_venue AND same_time) AS n_timed, max(id) FILTER (WHERE same_date AND same_venue) AS one, max(id) FILTER (WHERE same_date AND same_venue AND same_time) AS exact FROM s GROUP BY 1),
-b AS (SELECT obs_id, arg_min(id, struct_pack(a := -score, b := id)) AS best, max(score) AS best_score FROM s WHERE same_date OR same_venue GROUP BY 1),
+b AS (SELECT obs_id, arg_min(id, struct_pack(a := -score, b := id)) AS best, max(score) AS best_score FROM s WHERE score > 0 GROUP BY 1),
 r AS (SELECT o.obs_id, h.id AS hint, n_same, n_timed, one, exact, best, coalesce(best_score, 0) AS best_score FROM o LEFT JOIN h USING (obs_id) LEFT JOIN g USING (obs_id) LEFT JOIN b USING (obs_id)),
 c AS (SELECT *, CASE WHEN hint IS NOT NULL THEN 'source_chain_match' WHEN n_same = 1 THEN 'date_venue' WHEN n_same > 1 AND n_timed = 1 THEN 'date_venue_time' WHEN best_score >= 0.45 AND n_same > 1 THEN 'ambiguous_same_day_venue' WHEN best_score >= 0.45 THEN 'light_score' ELSE 'insufficient_evidence' END AS reason FROM r),
 d AS (SELECT *, CASE reason WHEN 'source_chain_match' THEN hint WHEN 'date_venue' THEN one WHEN 'date_venue_time' THEN exact WHEN 'insufficient_evidence' THEN NULL ELSE best END AS event_id FROM c)
