@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -12,7 +13,10 @@ def per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
 
 
 def latest(df: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
-    """One row a key: the latest by `at`, of equal ones the smallest `tie`. An aggregate, so rows combine before the shuffle."""
+    """One row a key: the latest by `at`, of equal ones the smallest `tie`. With a number as tie an aggregate, so rows combine
+    before the shuffle; other ties can't be turned around, so the first row of each key is kept."""
+    if not isinstance(df.schema[tie].dataType, NumericType):
+        return per_key(df, keys, [F.col(at).desc_nulls_last(), F.col(tie).asc_nulls_last()])
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(F.col(at), (-F.col(tie)).alias("_tie"))
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
@@ -40,9 +44,9 @@ def ranks_of_top(df: DataFrame, order: list[Column], n: int, name: str = "rank")
 
 
 def batch(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """All rows with `selected`: whether they are among the first n. The place is looked up among n rows, not by a global window."""
+    """All rows with `selected`: whether they are among the first n; equal rows are selected together. The place is looked up among n rows, not by a global window."""
     keys = df.columns
-    chosen = df.orderBy(*order).limit(n).select(*[F.col(c).alias(f"_{c}") for c in keys])
+    chosen = df.orderBy(*order).limit(n).distinct().select(*[F.col(c).alias(f"_{c}") for c in keys])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
     on = same[0]
     for x in same[1:]:

@@ -43,10 +43,9 @@ class JobStates(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         attempts, status = self.job.get() if self.job.exists() else (0, "pending")
-        for part in rows:
-            for http in part.sort_values("seq")["http"]:
-                attempts += 1
-                status = "blocked" if http in (401, 403) else "invalid" if 400 <= http < 500 and http != 429 else "deferred" if http >= 500 or http == 429 else "done"
+        for http in pd.concat(list(rows)).sort_values("seq")["http"]:  # a key's rows of one batch, in whatever parts they come
+            attempts += 1
+            status = "blocked" if http in (401, 403) else "invalid" if 400 <= http < 500 and http != 429 else "deferred" if http >= 500 or http == 429 else "done"
         self.job.update((attempts, status))
         delay = min(60, 2**attempts) if status == "deferred" else None
         yield pd.DataFrame({"url": [key[0]], "attempts": [attempts], "status": [status], "retry_minutes": pd.array([delay], "Int64")})
