@@ -9,12 +9,12 @@ from confluo.plans.catalogue import query, table
 
 
 @query("""SELECT path, rule FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path, unnest([CASE WHEN o_totalprice > 499000 THEN 'price above limit' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status unknown' END, CASE WHEN o_orderdate >= TIMESTAMP '2001-08-01' THEN 'date beyond horizon' END]) AS rule FROM orders) WHERE rule IS NOT NULL
-UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'customer missing' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -900) UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'duplicate id' FROM (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(*) > 1)""")
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'customer missing' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -900) UNION ALL SELECT CAST(k AS VARCHAR), 'duplicate id' FROM (SELECT l_orderkey * 10 + l_linenumber AS k FROM lineitem GROUP BY 1 HAVING count(*) > 1)""")
 def rule_violations(spark, d):
     o = table(spark, d, "orders")
     own = control.violations(o, F.col("o_orderkey"), {"price above limit": F.col("o_totalprice") > 499000, "status unknown": ~F.col("o_orderstatus").isin("O", "F"), "date beyond horizon": F.col("o_orderdate") >= F.lit("2001-08-01").cast("timestamp")})
     missing = control.missing_references(o, "o_orderkey", "o_custkey", table(spark, d, "customer").filter("c_acctbal > -900"), "c_custkey", "customer missing")
-    return control.union_all([own, missing, control.duplicate_keys(table(spark, d, "lineitem").filter("l_linenumber = 1"), "l_orderkey")])
+    return control.union_all([own, missing, control.duplicate_keys(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")), "k")])
 
 
 def guarded(lines):

@@ -99,18 +99,18 @@ def dedupe_keep_first(spark, d):
     return ranking.keep_first(rows, ["h"], "doc_id").select("doc_id", "h")
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-04'), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-28')
+@query("""WITH a AS (SELECT DISTINCT user_id, event_type, CAST(hour(ts) AS INTEGER) AS hour FROM events WHERE ts < TIMESTAMP '2024-01-16'), b AS (SELECT DISTINCT user_id, event_type, CAST(hour(ts) AS INTEGER) AS hour FROM events WHERE ts >= TIMESTAMP '2024-01-16')
 SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
 def set_difference(spark, d):
-    e = table(spark, d, "events")
-    return sets.difference(e.filter("ts < '2024-01-04'"), e.filter("ts >= '2024-01-28'"), ["user_id", "event_type"])
+    e = table(spark, d, "events").withColumn("hour", F.hour("ts"))
+    return sets.difference(e.filter("ts < '2024-01-16'"), e.filter("ts >= '2024-01-16'"), ["user_id", "event_type", "hour"])
 
 
-@query("""WITH a AS (SELECT user_id, round(sum(value), 2) AS v FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1), b AS (SELECT user_id, round(sum(value), 2) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-30' GROUP BY 1)
+@query("""WITH a AS (SELECT user_id, round(sum(value), 2) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT user_id, round(sum(value), 2) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
 SELECT user_id, a.v AS before, b.v AS after FROM a FULL JOIN b USING (user_id) WHERE a.v IS DISTINCT FROM b.v""")
 def changed_values(spark, d):
     total = lambda where: table(spark, d, "events").filter(where).groupBy("user_id").agg(F.round(F.sum("value"), 2).alias("v"))
-    return sets.changed(total("ts < '2024-01-02'"), total("ts >= '2024-01-30'"), "user_id", "v")
+    return sets.changed(total("ts < '2024-01-16'"), total("ts >= '2024-01-16'"), "user_id", "v")
 
 
 @query("""WITH r AS (SELECT o_orderkey AS k, 0 AS layer, 0 AS seq, CAST(o_totalprice AS DOUBLE) AS price FROM orders UNION ALL SELECT l_orderkey, 1, l_partkey * 10 + l_linenumber, l_extendedprice FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, 2, l_partkey * 10 + l_linenumber, l_extendedprice FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O'),

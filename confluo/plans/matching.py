@@ -12,14 +12,14 @@ DAY = "CASE WHEN o_orderkey % 7 <> 0 THEN substr('' || o_orderdate, 1, 10) END"
 _NORMAL = r"regexp_replace(lower(trim({})), '[()\[\]・･,，.。''\"\s_\-–—~〜/／\\]', '', 'g')"
 
 
-@query(rf"""WITH a AS (SELECT l_orderkey, list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))) AS ids FROM lineitem WHERE l_quantity > 30 GROUP BY 1),
+@query(rf"""WITH a AS (SELECT l_orderkey, list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))) AS ids FROM lineitem GROUP BY 1),
 r AS (SELECT o_orderkey, coalesce({DAY}, 'unknown-date') AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'v' || o_custkey END AS venue_id, CASE WHEN o_orderkey % 5 <> 0 THEN c_name END AS venue_name, ids, CASE WHEN o_orderkey % 2 = 0 THEN c_mktsegment END AS first_name, o_orderpriority AS title, CASE WHEN o_orderkey % 4 = 0 THEN 'unknown-time' ELSE '18:00' END AS t
 FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN a ON l_orderkey = o_orderkey),
 k AS (SELECT o_orderkey, day || '|' || coalesce(venue_id, nullif({_NORMAL.format("venue_name")}, ''), 'unknown-venue') || '|' || CASE WHEN len(ids) > 0 THEN array_to_string(ids, '+') ELSE {_NORMAL.format("coalesce(first_name, title)")} END || '|' || t AS candidate_key FROM r)
 SELECT o_orderkey, candidate_key, 'evt_' || substr(sha256(candidate_key), 1, 24) AS id FROM k""")
 def candidate_keys(spark, d):
     """What records of one event share, and the stable id made of it."""
-    artists = table(spark, d, "lineitem").filter("l_quantity > 30").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("ids"))
+    artists = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("ids"))
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(artists, "o_orderkey", "left")
     when = lambda condition, value: F.when(F.expr(condition), value)
     key = fusion.candidate_key(F.expr(DAY), when("o_orderkey % 3 = 0", F.concat(F.lit("v"), "o_custkey")), when("o_orderkey % 5 <> 0", F.col("c_name")), F.col("ids"), when("o_orderkey % 2 = 0", F.col("c_mktsegment")), F.col("o_orderpriority"), when("o_orderkey % 4 <> 0", F.lit("18:00")))

@@ -116,9 +116,9 @@ def first_future_per_customer(spark, d):
     return ranking.keep_first(rows, ["o_custkey"], "_at").select("o_custkey", "o_orderkey", day("o_orderdate").alias("order_day"))
 
 
-@query("SELECT n_nationkey, n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1, 2")
+@query("SELECT n_nationkey, n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
 def zero_filled_counts(spark, d):
-    return reports.zero_filled(table(spark, d, "nation"), "n_nationkey", table(spark, d, "supplier").filter("s_acctbal > 5000"), "s_nationkey").select("n_nationkey", "n_name", "n")
+    return reports.zero_filled(table(spark, d, "nation"), "n_nationkey", table(spark, d, "supplier"), "s_nationkey").select("n_nationkey", "n_name", "n")
 
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m-%d') AS order_day, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01' ORDER BY o_orderdate, o_orderkey LIMIT 120) GROUP BY 1""")
@@ -203,17 +203,18 @@ def last_relevant_turn(spark, d):
     return ranking.latest(rows, ["conv_id"], "turn", "seq").select("conv_id", "turn", "n")
 
 
-@query("""WITH t AS (SELECT o_orderkey, o_orderdate AS moment, 'order' AS kind, 0 AS k FROM orders WHERE o_custkey = 7 UNION ALL SELECT o_orderkey, l_shipdate, 'ship', 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 7 UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY, 'due', 2 FROM orders WHERE o_custkey = 7)
-SELECT o_orderkey, kind, strftime(moment, '%Y-%m-%d') AS item_day, CASE WHEN moment = (SELECT min(moment) FROM t WHERE moment > TIMESTAMP '1998-07-01') THEN 'next' WHEN moment = (SELECT max(moment) FROM t WHERE moment <= TIMESTAMP '1998-07-01') THEN 'current' ELSE '' END AS state FROM t""")
+@query("""WITH t AS (SELECT o_custkey, o_orderkey, o_orderdate AS moment, 'order' AS kind FROM orders UNION ALL SELECT o_custkey, o_orderkey, l_shipdate, 'ship' FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 30 DAY, 'due' FROM orders),
+m AS (SELECT o_custkey, min(moment) FILTER (moment > TIMESTAMP '1998-07-01') AS next, max(moment) FILTER (moment <= TIMESTAMP '1998-07-01') AS now FROM t GROUP BY 1)
+SELECT o_custkey, o_orderkey, kind, strftime(moment, '%Y-%m-%d') AS item_day, CASE WHEN moment = next THEN 'next' WHEN moment = now THEN 'current' ELSE '' END AS state FROM t JOIN m USING (o_custkey)""")
 def timeline_union(spark, d):
-    """One customer's timeline, with the current and the next moment marked."""
-    o = table(spark, d, "orders").filter("o_custkey = 7")
-    item = lambda df, at, kind: df.select("o_orderkey", at.alias("at"), F.lit(kind).alias("kind"))
+    """Each customer's timeline, with the current and the next moment marked."""
+    o = table(spark, d, "orders")
+    item = lambda df, at, kind: df.select("o_custkey", "o_orderkey", at.alias("at"), F.lit(kind).alias("kind"))
     t = item(o, F.col("o_orderdate"), "order").unionByName(item(o.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")), F.col("l_shipdate"), "ship")).unionByName(item(o, F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"), "due"))
     at = F.lit(TODAY).cast("timestamp")
-    marks = t.agg(F.min(F.when(F.col("at") > at, F.col("at"))).alias("next"), F.max(F.when(F.col("at") <= at, F.col("at"))).alias("current"))
+    marks = t.groupBy("o_custkey").agg(F.min(F.when(F.col("at") > at, F.col("at"))).alias("next"), F.max(F.when(F.col("at") <= at, F.col("at"))).alias("current"))
     state = F.when(F.col("at") == F.col("next"), "next").when(F.col("at") == F.col("current"), "current").otherwise("")
-    return t.crossJoin(F.broadcast(marks)).select("o_orderkey", "kind", day("at").alias("item_day"), state.alias("state"))
+    return t.join(marks, "o_custkey").select("o_custkey", "o_orderkey", "kind", day("at").alias("item_day"), state.alias("state"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(day(o_orderdate) AS VARCHAR) || '(' || list_extract(['日','月','火','水','木','金','土'], CAST(dayofweek(o_orderdate) + 1 AS INTEGER)) || ')' AS label, strftime(o_orderdate, '%Y/%m/%d') || '(' || list_extract(['日','月','火','水','木','金','土'], CAST(dayofweek(o_orderdate) + 1 AS INTEGER)) || ')' AS full_label,
@@ -248,10 +249,14 @@ def visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.visible_text(F.col("html")).alias("visible"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b([0-9]{1,6})\\b', 1), lambda x: CAST(x AS BIGINT)))), ',') AS numbers FROM documents""".replace("\\\\", "\\"))
+@query(r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '\b([0-9]+)\b', 1), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END)) AS found, text IS NULL AS none FROM documents)
+SELECT doc_id, CASE WHEN NOT none THEN array_to_string(list_transform(list_sort(list_transform(found, lambda x: {'l': len(x), 'x': x})), lambda s: s.x), ',') END AS numbers FROM n""")
 def extract_numbers(spark, d):
-    found = F.regexp_extract_all("text", F.lit(r"\b([0-9]{1,6})\b"), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("long")))).cast("array<string>"), ",").alias("numbers"))
+    """The distinct numbers of each text, of any length, by size."""
+    digits = F.regexp_extract_all("text", F.lit(r"\b([0-9]+)\b"), F.lit(1))
+    plain = F.transform(digits, lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0")))
+    ordered = F.array_sort(F.array_distinct(F.transform(plain, lambda x: F.struct(F.char_length(x).alias("l"), x.alias("x")))))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(ordered, lambda s: s["x"]), ",").alias("numbers"))
 
 
 @query("SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY 1")

@@ -23,11 +23,11 @@ def publish_funnel(spark, d):
     return reports.counts(rows, discovered=F.lit(True), reviewed=F.col("quality").isNotNull(), ready=F.col("quality") == 1, approved=(F.col("quality") == 1) & (F.col("toxic") == 0))
 
 
-@query("""SELECT a.o_orderpriority, b.o_orderstatus, count(o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) a CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) b LEFT JOIN orders o ON o.o_orderpriority = a.o_orderpriority AND o.o_orderstatus = b.o_orderstatus AND o_totalprice > 499000 GROUP BY 1, 2""")
+@query("""SELECT a.o_orderpriority, b.o_orderstatus, count(o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) a CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) b LEFT JOIN orders o ON o.o_orderpriority = a.o_orderpriority AND o.o_orderstatus = b.o_orderstatus GROUP BY 1, 2""")
 def dense_histogram(spark, d):
     o = table(spark, d, "orders")
     dense = o.select("o_orderpriority").distinct().crossJoin(o.select("o_orderstatus").distinct())
-    found = reports.dense_histogram(o.filter("o_totalprice > 499000"), "o_orderpriority", "o_orderstatus")
+    found = reports.dense_histogram(o, "o_orderpriority", "o_orderstatus")
     return dense.join(found, ["o_orderpriority", "o_orderstatus"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
