@@ -284,6 +284,12 @@ def sampled(docs: DataFrame, per_language: int, most_bytes: int, id_col: str, te
     own = columns(docs, [id_col, text_col, lang_col]).toDF("id", "text", "lang").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
     own = own.withColumn("h", F.xxhash64("id", "text"))
     keys = own.groupBy("lang", "h").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes")).filter(F.col("bytes") <= most_bytes)
+    # The hashes are uniform: ranges of them are counted, and only those that hold the first rows of a language go on to be ranked.
+    span = F.shiftright("h", 48)
+    counts = keys.groupBy("lang", span.alias("span")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("span")) - F.col("n")
+    spans = counts.withColumn("before", before).filter(F.col("before") < per_language).select("lang", "span")
+    keys = keys.withColumn("span", span).join(F.broadcast(spans), ["lang", "span"], "left_semi")  # per_language spans a language at most
     first = Window.partitionBy("lang").orderBy("h")
     keys = keys.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
     keys = keys.withColumn("total", F.sum("bytes").over(first)).filter(F.col("total") <= most_bytes).select("lang", "h")
