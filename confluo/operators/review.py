@@ -56,3 +56,31 @@ def take_over(ledger: DataFrame, batch: DataFrame, reviewer: str, at: Column) ->
 def decisions(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(approved: id, evidence_hash; rejected: id, reason) of an entity batch: id, decision, evidence_hash, reason."""
     return batch.filter("decision = 'approve'").select("id", "evidence_hash"), batch.filter("decision = 'reject'").select("id", "reason")
+
+
+# Why a proposed venue is taken over or not, and what its id begins with.
+PLACE_KNOWN, PLACE_UNKNOWN, VENUE_ID = "演出官方页确认场馆名，场馆官网确认所在地；未知资料保持 null", "缺少已核对的所在地或原始响应证据", "venue-ext-"
+
+
+def venue_proposals(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """id, name_ja, prefecture, city, n_events, n_sources, raw_content_hashes, evidence_hash, decision, reason: a venue for each name
+    that candidates give and no venue has.
+
+    candidates: id, venue_name, issues, sources (source_id, source_event_id, content_hash); those with the issue `unknown_venue`
+    count. facts: name, prefecture, city, source_url (places that were looked up; the first by source_url for a name). A proposal
+    is approved if its place is known and a response shows its name; its hash covers what is known and all these responses.
+    """
+    from confluo.functions.text import normalize_name
+
+    lost = candidates.filter(F.array_contains("issues", "unknown_venue") & F.col("venue_name").isNotNull())
+    rows = lost.select(F.col("id").alias("event_id"), F.col("venue_name").alias("name_ja"), F.explode_outer("sources").alias("s"))
+    hashes = F.array_sort(F.collect_set(F.when(F.col("s.content_hash") != "", F.col("s.content_hash"))))  # the evidence names each of them
+    grouped = rows.groupBy("name_ja").agg(F.count_distinct("event_id").alias("n_events"), F.count_distinct(F.when(F.col("s").isNotNull(), F.struct("s.source_id", "s.source_event_id"))).alias("n_sources"), hashes.alias("raw_content_hashes"))
+    places = facts.groupBy(F.col("name").alias("name_ja")).agg(F.min(F.struct("source_url", "prefecture", "city")).alias("f"))
+    out = grouped.join(places, "name_ja", "left")
+    said = F.struct(F.col("name_ja").alias("nameJa"), F.col("f.prefecture").alias("prefecture"), F.col("f.city").alias("city"), F.col("f.source_url").alias("officialVenueSourceUrl"), F.col("raw_content_hashes").alias("rawContentHashes"))
+    fit = F.col("f").isNotNull() & (F.size("raw_content_hashes") > 0)
+    return out.select(
+        F.concat(F.lit(VENUE_ID), F.substring(F.sha2(normalize_name(F.col("name_ja")), 256), 1, 16)).alias("id"), "name_ja", "f.prefecture", "f.city", "n_events", "n_sources", "raw_content_hashes", F.sha2(F.to_json(said, {"ignoreNullFields": "false"}), 256).alias("evidence_hash"),
+        F.when(fit, "approve").otherwise("reject").alias("decision"), F.when(fit, PLACE_KNOWN).otherwise(PLACE_UNKNOWN).alias("reason"),
+    )

@@ -143,3 +143,20 @@ def unknown_counts(spark, d):
     o = table(spark, d, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "unknown").otherwise(F.col("o_orderpriority")))
     facts = ("o_orderpriority", "o_custkey", "o_totalprice")
     return reports.unpivot(reports.counts(o, **{c: status.is_unknown(F.col(c)) for c in facts}), "field", "unknown")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN 'Hall ' || o_custkey % 50 END AS name, o_custkey AS c, o_orderkey % 4 AS n FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT id, name, unnest(CASE n WHEN 0 THEN [] WHEN 1 THEN ['s1'] ELSE ['s1', 's2'] END) AS s, c FROM c WHERE name IS NOT NULL),
+h AS (SELECT name, list_sort(list(DISTINCT sha256('' || c % 7)) FILTER (c % 50 <> 3)) AS hashes, count(DISTINCT (s, c)) AS n_sources FROM r GROUP BY 1), g AS (SELECT name, count(*) AS n_events FROM c WHERE name IS NOT NULL GROUP BY 1),
+j AS (SELECT g.name, n_events, coalesce(n_sources, 0) AS n_sources, coalesce(hashes, CAST([] AS VARCHAR[])) AS hashes, n_name AS prefecture, CASE WHEN n_regionkey % 2 = 0 THEN 'city ' || n_regionkey END AS city, CASE WHEN n_name IS NOT NULL THEN 'https://place.example/' || n_nationkey END AS url FROM g LEFT JOIN h ON h.name = g.name LEFT JOIN nation ON g.name = 'Hall ' || n_nationkey)
+SELECT 'venue-ext-' || substr(sha256(replace(lower(name), ' ', '')), 1, 16) AS id, name AS name_ja, prefecture, city, n_events, n_sources, len(hashes) AS n_hashes, sha256(CAST(to_json({'nameJa': name, 'prefecture': prefecture, 'city': city, 'officialVenueSourceUrl': url, 'rawContentHashes': hashes}) AS VARCHAR)) AS evidence_hash, CASE WHEN prefecture IS NOT NULL AND len(hashes) > 0 THEN 'approve' ELSE 'reject' END AS decision FROM j""")
+def venue_proposals(spark, d):
+    """Venues that orders name and nobody knows, with what is known of their places."""
+    from confluo.operators import review
+
+    k = F.col("o_orderkey")
+    source = lambda x: F.struct(F.lit(x).alias("source_id"), F.col("o_custkey").cast("string").alias("source_event_id"), F.when(F.col("o_custkey") % 50 != 3, F.sha2((F.col("o_custkey") % 7).cast("string"), 256)).alias("content_hash"))
+    none = F.array().cast("array<struct<source_id: string, source_event_id: string, content_hash: string>>")
+    sources = F.when(k % 4 == 0, none).when(k % 4 == 1, F.array(source("s1"))).otherwise(F.array(source("s1"), source("s2")))
+    own = table(spark, d, "orders").select(k.alias("id"), F.when(k % 5 != 0, F.concat(F.lit("Hall "), (F.col("o_custkey") % 50).cast("string"))).alias("venue_name"), F.array(F.when(k % 3 == 0, "unknown_venue").otherwise("missing_date")).alias("issues"), sources.alias("sources"))
+    facts = table(spark, d, "nation").select(F.concat(F.lit("Hall "), "n_nationkey").alias("name"), F.col("n_name").alias("prefecture"), F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.lit("city "), "n_regionkey")).alias("city"), F.concat(F.lit("https://place.example/"), "n_nationkey").alias("source_url"))
+    return review.venue_proposals(own, facts).select("id", "name_ja", "prefecture", "city", "n_events", "n_sources", F.size("raw_content_hashes").cast("long").alias("n_hashes"), "evidence_hash", "decision")
