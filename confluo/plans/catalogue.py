@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from confluo.plans import assembled, control, enriched, entities, evidence, kept, matching, pages, publishing, reads, refreshes, reports, ruled, searching, shows, sources, stepping, users, validation  # noqa: F401  each registers its queries
+    from confluo.plans import assembled, control, enriched, entities, evidence, kept, matching, pages, publishing, reads, refreshes, reports, restored, ruled, searching, shows, sources, stepping, users, validation  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Query]:
