@@ -83,8 +83,9 @@ def faults(rules: Sequence[Rule | Each], get: Get, prefix: Column) -> Column:
 
 def row_faults(df: DataFrame, table: Table) -> DataFrame:
     """(table, id, path, rule) of all row rules, in one scan."""
-    found = df.select(F.col(table.id).cast("string").alias("_id"), faults(table.rules, F.col, F.lit("")).alias("_found"))
-    return found.select(F.lit(table.name).alias("table"), F.col("_id").alias("id"), F.explode("_found").alias("f")).select("table", "id", F.regexp_replace("f.path", r"^\.", "").alias("path"), "f.rule")
+    # Exploded as it is made: of a column of its own Spark infers a filter, and states all rules again in it, with all that they read.
+    found = df.select(F.col(table.id).cast("string").alias("_id"), F.explode(faults(table.rules, F.col, F.lit(""))).alias("_f"))
+    return found.select(F.lit(table.name).alias("table"), F.col("_id").alias("id"), F.regexp_replace("_f.path", r"^\.", "").alias("path"), "_f.rule")
 
 
 def watched(df: DataFrame, table: Table, what: Sequence[Unique | Reference]) -> DataFrame:
@@ -93,8 +94,7 @@ def watched(df: DataFrame, table: Table, what: Sequence[Unique | Reference]) ->
     text = lambda w: F.transform(F.coalesce(values(w), F.array()), lambda v: F.coalesce(v.cast("string"), F.lit("")))
     tagged = lambda n: lambda v, i: F.struct(F.lit(n).alias("n"), v.alias("value"), i.alias("i"))
     each = [F.transform(text(w), tagged(n)) for n, w in enumerate(what)]
-    rows = df.select(F.col(table.id).cast("string").alias("_id"), F.flatten(F.array(*each)).alias("_v"))
-    return rows.select(F.col("_id").alias("id"), F.explode("_v").alias("v")).select("id", "v.*")
+    return df.select(F.col(table.id).cast("string").alias("_id"), F.explode(F.flatten(F.array(*each))).alias("_v")).select(F.col("_id").alias("id"), "_v.*")
 
 
 def named(what: Sequence[Unique | Reference], n: Column, names: Callable) -> Column:

@@ -40,15 +40,20 @@ _APPROVED = "map_from_entries(array(" + ", ".join(f"struct('{f}' AS key, named_s
 _HASH = "sha2(concat_ws('|', array_sort(array(" + ", ".join(f"'{f}' || k" for f in p.REQUIRED) + "))), 256)"
 
 
+def _null(*names: str) -> str:
+    return "".join(f"'{n}', CAST(NULL AS STRING), " for n in names)
+
+
 def events(spark, d):
-    offer = "named_struct('id', 'o' || {0}, 'event_id', 'e' || k, 'provider', 'pia', 'url_kind', 'event_detail', 'sale_type', 'other', 'sale_status', CASE WHEN k % 23 = 1 THEN 'ajar' ELSE 'open' END, 'inventory_status', 'low', 'url', 'https://t.pia.jp/', 'source_url', 'https://t.pia.jp/', 'last_verified_at', CASE WHEN k % 23 = 2 THEN 'soon' ELSE '2026-01-01' END, 'start_at', CASE WHEN k % 23 = 3 THEN 'soon' END, 'eligibility', array(CAST('m' AS STRING)), 'match_level', 'confirmed')"
+    offer = "named_struct('id', 'o' || {0}, 'event_id', 'e' || k, 'provider', 'pia', 'url_kind', 'event_detail', 'sale_type', 'other', 'sale_status', CASE WHEN k % 23 = 1 THEN 'ajar' ELSE 'open' END, 'inventory_status', 'low', 'url', 'https://t.pia.jp/', 'source_url', 'https://t.pia.jp/', 'last_verified_at', CASE WHEN k % 23 = 2 THEN 'soon' ELSE '2026-01-01' END, 'start_at', CASE WHEN k % 23 = 3 THEN 'soon' END, " + _null("end_at", "result_at", "payment_deadline", "ticket_display_at") + "'eligibility', array('m'), " + _null("membership_requirement", "region_restriction", "phone_verification", "companion_restriction", "ticket_distribution") + "'match_level', 'confirmed')"
     proof = "map_from_entries(transform(array(" + ", ".join(map(repr, p.FIELDS)) + "), f -> struct(f AS key, named_struct('availability_status', 'published', 'approval_state', CASE WHEN f = 'prices' AND k % 23 = 4 THEN 'changed' ELSE 'approved' END, 'approval_hash', 'h', 'verified_at', 't', 'evidence', " + EVIDENCE.format("CASE WHEN f = 'venue' AND k % 23 = 5 THEN 'rumour' ELSE 'venue_official' END", "1.0", "k") + ") AS value)))"
     rows = table(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "date_format(o_orderdate, 'yyyy-MM-dd') AS day", "o_totalprice AS total")
-    rows = rows.selectExpr(
+    # An event takes far longer to make and judge than its order to read, so orders are dealt out first, and not put together again.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k").selectExpr(
         "'e' || k AS id", "CASE WHEN k % 23 = 6 THEN 'other' ELSE 't' || k END AS title_ja", "'t' AS title_zh", "CASE WHEN k % 23 = 7 THEN array('a' || c, 'a-9') ELSE array('a' || c) END AS artist_ids", "CASE WHEN k % 23 = 8 THEN 'v-1' ELSE 'v' || (c % 100) END AS venue_id", "day AS date", "CASE WHEN k % 23 = 9 THEN '24:00' ELSE '17:00' END AS open_time", "'18:00' AS start_time",
         "'oneman' AS type", "'announced' AS status", "'scheduled' AS event_status", "array(named_struct('name', 'S', 'price_jpy', floor(total)), named_struct('name', CASE WHEN k % 23 = 10 THEN '' ELSE 'A' END, 'price_jpy', CASE WHEN k % 23 = 11 THEN 0.5 ELSE 0 END)) AS tiers", "array(named_struct('label', 'drink', 'amount_jpy', CASE WHEN k % 23 = 12 THEN -1 END)) AS additional_fees",
         "CASE WHEN k % 23 <> 13 THEN array(named_struct('name', 'n', 'kind', 'general', 'status', 'open', 'start', day, 'end', CASE WHEN k % 23 = 14 THEN '1990-01-01' ELSE day END, 'url', '')) END AS phases", "array(named_struct('label', 'l', 'url', 'https://x.example/', 'purpose', 'ticket')) AS ticket_links",
-        f"from_json(to_json(array({offer.format('1')}, {offer.format('CASE WHEN k % 23 = 15 THEN 1 ELSE 2 END')})), '{p.TICKET}') AS ticket_offers", "array() AS eligibility", "map_from_arrays(array(" + ", ".join(map(repr, p.FIELDS)) + "), array_repeat('published', 12)) AS availability", f"CASE WHEN k % 23 <> 16 THEN {proof} END AS field_provenance", f"{PROOF.format(_HASH)} AS verification",
+        f"array({offer.format('1')}, {offer.format('CASE WHEN k % 23 = 15 THEN 1 ELSE 2 END')}) AS ticket_offers", "array() AS eligibility", "map_from_arrays(array(" + ", ".join(map(repr, p.FIELDS)) + "), array_repeat('published', 12)) AS availability", f"CASE WHEN k % 23 <> 16 THEN {proof} END AS field_provenance", f"{PROOF.format(_HASH)} AS verification",
         f"CASE WHEN k % 23 <> 17 THEN named_struct('review_state', 'approved', 'fields', {_APPROVED}) END AS approved",
     )
     return typed(rows, p.EVENT)

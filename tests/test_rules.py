@@ -105,3 +105,12 @@ def test_approved_candidates_and_counts(spark):
     assert [(r.id, r.rule) for r in found.collect()] == [("e2", "not approved")]
     assert [r.rule for r in p.counts_differ(events, candidates).collect()] == ["published 2, approved 1"]
     assert p.counts_differ(events, events).count() == 0
+
+
+def test_rules_are_stated_once(spark):
+    """Spark must not filter by what is exploded: it would evaluate all rules, and what makes their rows, again."""
+    made = spark.range(5).select(F.concat(F.lit("e"), F.col("id")).alias("id"), F.transform(F.sequence(F.lit(0), F.col("id")), lambda i: i.cast("string")).alias("ids"))
+    table = rules.Table("t", "id", (rules.Rule(".ids", "many", lambda x: F.size(x("ids")) > 3),), unique=(rules.Unique("ids", lambda x: x("ids")),))
+    for found, n in ((rules.row_faults(made, table), 2), (rules.watched(made, table, table.unique), 15)):
+        assert "Filter" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count() == n
