@@ -83,3 +83,12 @@ def test_take_over(spark):
     assert got == {"a": ({"x": "1", "y": "3", "z": "4"}, "s"), "b": ({"x": "1"}, "r"), "c": ({}, "s")}
     yes, no = review.decisions(spark.createDataFrame([("a", "approve", "h", None), ("b", "reject", None, "w"), ("c", None, None, None)], "id string, decision string, evidence_hash string, reason string"))
     assert [tuple(r) for r in yes.collect()] == [("a", "h")] and [tuple(r) for r in no.collect()] == [("b", "w")]
+
+
+def test_addresses_are_taken_apart_once(spark):
+    """Two readings of an address, before and after the aggregate, of four parts and a few more; filters must not repeat them."""
+    phases = spark.createDataFrame([("e", "https://eplus.jp/sf/detail/1", "general", "open", "2026-01-01", "2026-01-02")], "event_id string, url string, kind string, status string, start string, end string")
+    links = spark.createDataFrame([("e", f"https://eplus.jp{p}?utm_source=a") for p in ("/sf/detail/1/", "/sf/detail/2", "/help/x", "/refund/1")] + [("e", "tel:1"), ("e", None)], "event_id string, url string")
+    out = trips.offers_of_phases(phases, links)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 20
+    assert sorted((r.url, r.url_kind, r.provider, r.sale_status) for r in out.collect()) == [("https://eplus.jp/sf/detail/1", "event_detail", "eplus", "open"), ("https://eplus.jp/sf/detail/2", "event_detail", "eplus", "unknown")]
