@@ -1,7 +1,8 @@
 """The matrix of what is verified about an event: fourteen fields, each with value, sources, time, change and conflicts.
 
-Facts of offers are taken apart into rows (event, field, value) and put together by field, each value once in the order of the
-offers, so a field holds its distinct values and no list of all offers is made.
+Offers of an event that say the same count once, as the first of them; what is left is one list an event, in the order of the
+offers, from which each field takes its distinct values and sources. All is keyed by the event alone, so offers that are dealt out
+by event_id already are not shuffled again, and what is compared are rows of events, not of fields.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confluo.functions.urls import bound
 from confluo.operators.offers import NOT_FOR_SALE, instant
-from confluo.sources.folders import written
 
 # Fields in order with their labels, reasons for unknown ones, and what is said of yes and no.
 FIELDS = {
@@ -52,45 +53,62 @@ def facts() -> dict[str, Column]:
     }
 
 
-def joined_once(df: DataFrame, value: str, name: str) -> DataFrame:
-    """event_id, field, `name`: the distinct values in the order in which they first come, joined. df: event_id, field, seq, i, value."""
-    first = df.groupBy("event_id", "field", value).agg(F.min(F.struct("seq", "i")).alias("_at"))
-    return first.groupBy("event_id", "field").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", value))), lambda x: x[value]), JOIN).alias(name))
-
-
-def snapshot(events: DataFrame, offers: DataFrame) -> DataFrame:
-    """event_id, field, value, sources, verified_at: a row for each event and each of FIELDS. events: id, checked_at, source_urls."""
+def held(events: DataFrame, offers: DataFrame) -> DataFrame:
+    """event_id, checked_at, own (its sources, joined), offers (what they say: seq, the facts, links, checked): a row for each event.
+    events: id, checked_at, source_urls."""
     sold = offers.filter(~F.coalesce(F.col("url_kind").isin(*NOT_FOR_SALE), F.lit(False)))
+    told = {f: F.coalesce(F.filter(c, lambda v: known(v).isNotNull()), F.array().cast("array<string>")) for f, c in facts().items()}
+    links = F.array(*[F.nullif(F.col(c), F.lit("")) for c in ("source_url", "url")])
     checked = F.when(instant(F.col("last_verified_at")).isNotNull(), F.col("last_verified_at"))
-    each = F.array(*[F.struct(F.lit(f).alias("field"), c.alias("values")) for f, c in facts().items()], F.struct(F.lit("lastVerifiedAt").alias("field"), F.array(F.lit("-")).alias("values")))
-    base = ("event_id", "seq", "source_url", "url", "_checked")
-    rows = sold.withColumns({"_each": each, "_checked": checked}).select(*base, F.explode("_each").alias("f")).select(*base, "f.field", F.posexplode("f.values").alias("i", "value")).filter(known(F.col("value")).isNotNull())
-    rows = written(rows, "facts")  # three aggregates read it
-    values = joined_once(rows.filter("field <> 'lastVerifiedAt'"), "value", "value")
-    sources = joined_once(rows.select("event_id", "field", "seq", F.posexplode(F.array("source_url", "url")).alias("i", "link")).filter("link <> ''"), "link", "sources")
-    times = rows.groupBy("event_id", "field").agg(F.max("_checked").alias("verified_at"))
-    own = events.select(F.col("id").alias("event_id"), "checked_at", F.array_join(F.array_distinct(F.filter(F.coalesce("source_urls", F.array().cast("array<string>")), lambda u: u != "")), JOIN).alias("_own"))
-    grid = own.select("*", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
-    out = grid.join(values, ["event_id", "field"], "left").join(sources, ["event_id", "field"], "left").join(times, ["event_id", "field"], "left")
-    detail, last = F.col("field") == "officialEventDetail", F.col("field") == "lastVerifiedAt"
-    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
-    latest = F.coalesce("verified_at", F.when(last, F.col("checked_at")))
-    return out.select(
-        "event_id", "field", F.when(detail, filled(F.col("_own"))).when(last, filled(latest)).otherwise(filled(F.col("value"))).alias("value"), F.coalesce(F.when(detail, F.col("_own")).when(last, F.coalesce(filled(F.col("sources")), F.col("_own"))).otherwise(F.col("sources")), F.lit("")).alias("sources"), F.when(detail, F.col("checked_at")).otherwise(latest).alias("verified_at"),
-    )
+    said_once = sold.groupBy("event_id", *[c.alias(f) for f, c in told.items()], links.alias("links"), checked.alias("checked")).agg(F.min("seq").alias("seq"))
+    listed = said_once.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("seq", *told, "links", "checked"))).alias("offers"))
+    own = F.array_join(F.array_distinct(F.filter(F.coalesce("source_urls", F.array().cast("array<string>")), lambda u: u != "")), JOIN)
+    return events.select(F.col("id").alias("event_id"), "checked_at", own.alias("own")).join(listed, "event_id", "left")
+
+
+def filled(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def once(lists: Column) -> Column:
+    """The distinct members of lists in the order in which they first come, joined; nulls aside."""
+    return F.array_join(F.array_distinct(F.flatten(lists)), JOIN)
+
+
+def values() -> dict[str, Column]:
+    """Of each field its value, null if unknown, from the columns of `held`."""
+    latest = F.coalesce(F.array_max(F.col("offers")["checked"]), F.col("checked_at"))
+    return {f: filled(F.col("own") if f == "officialEventDetail" else latest if f == "lastVerifiedAt" else once(F.col("offers")[f])) for f in FIELDS}
+
+
+def proofs() -> dict[str, Column]:
+    """Of each field its sources and when it was verified: those of the offers that say something of it."""
+
+    def of(offers: Column, sources, time) -> Column:
+        return bound(offers, lambda x: F.struct(F.coalesce(sources(once(x["links"])), F.lit("")).alias("sources"), time(F.array_max(x["checked"])).alias("verified_at")))
+
+    own, at, same = F.col("own"), F.col("checked_at"), lambda x: x
+    saying = lambda f: F.filter("offers", lambda x: F.size(x[f]) > 0)
+    out = {f: of(saying(f), same, same) for f in facts()}
+    return out | {"officialEventDetail": F.struct(own.alias("sources"), at.alias("verified_at")), "lastVerifiedAt": of(F.col("offers"), lambda x: F.coalesce(filled(x), own), lambda x: F.coalesce(x, at))}
 
 
 def matrix(events_before: DataFrame, offers_before: DataFrame, events_after: DataFrame, offers_after: DataFrame, conflicts: DataFrame) -> DataFrame:
     """event_id, field, label, current_value, source_urls, last_verified_at, changed, unknown_reason, requires_manual, n_conflicts: a row
     for each event after and each field. An event that was not there before changes wherever it has a value. conflicts: event_id,
     field (a fact, as offers.conflicts names it)."""
-    after = snapshot(events_after, offers_after)
-    before = snapshot(events_before, offers_before).select("event_id", "field", F.col("value").alias("_before"))
+    value, proof = values(), proofs()
+    after = held(events_after, offers_after).select("event_id", F.array(*[value[f] for f in FIELDS]).alias("_value"), F.array(*[proof[f] for f in FIELDS]).alias("_proof"))
+    before = held(events_before, offers_before).select("event_id", F.array(*[value[f] for f in FIELDS]).alias("_before"))
     renamed = F.create_map(*[F.lit(x) for pair in CONFLICTS.items() for x in pair])
-    found = conflicts.select("event_id", F.coalesce(F.element_at(renamed, F.col("field")), F.col("field")).alias("field")).groupBy("event_id", "field").agg(F.count("*").alias("n_conflicts"))
+    counted = conflicts.select("event_id", F.coalesce(F.element_at(renamed, F.col("field")), F.col("field")).alias("field")).groupBy("event_id", "field").agg(F.count("*").alias("n"))
+    found = counted.filter("field IS NOT NULL").groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "n"))).alias("_n"))
     labels, reasons = (F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) for names in (FIELDS, REASONS))
-    out = after.join(before, ["event_id", "field"], "left").join(found, ["event_id", "field"], "left")
+    whole = after.join(before, "event_id", "left").join(found, "event_id", "left")
+    # Exploded by the names of the fields: by a list of the event, Spark would filter by it, and make it twice.
+    out = whole.select("*", F.posexplode(F.array(*map(F.lit, FIELDS))).alias("_i", "field"))
+    current, n = F.get("_value", F.col("_i")), F.try_element_at("_n", F.col("field"))
     return out.select(
-        "event_id", "field", labels[F.col("field")].alias("label"), F.col("value").alias("current_value"), F.col("sources").alias("source_urls"), F.col("verified_at").alias("last_verified_at"), (~F.col("value").eqNullSafe(F.col("_before"))).alias("changed"),
-        F.when(F.col("value").isNull(), F.coalesce(F.try_element_at(reasons, F.col("field")), F.lit(UNDISCLOSED))).alias("unknown_reason"), F.col("n_conflicts").isNotNull().alias("requires_manual"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"),
+        "event_id", "field", labels[F.col("field")].alias("label"), current.alias("current_value"), F.get("_proof", F.col("_i"))["sources"].alias("source_urls"), F.get("_proof", F.col("_i"))["verified_at"].alias("last_verified_at"), (~current.eqNullSafe(F.get("_before", F.col("_i")))).alias("changed"),
+        F.when(current.isNull(), F.coalesce(F.try_element_at(reasons, F.col("field")), F.lit(UNDISCLOSED))).alias("unknown_reason"), n.isNotNull().alias("requires_manual"), F.coalesce(n, F.lit(0)).alias("n_conflicts"),
     )

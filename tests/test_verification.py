@@ -22,3 +22,12 @@ def test_fields(spark):
     assert one("ticketApp").current_value is None and one("ticketApp").unknown_reason == v.UNDISCLOSED and one("ticketApp").requires_manual
     assert (one("officialEventDetail").current_value, one("officialEventDetail").last_verified_at) == ("https://a/1", "2026-08-30T00:00:00Z") and one("lastVerifiedAt").current_value == "2026-08-31T00:00:00.000Z"
     assert rows["e2", "officialEventDetail"].unknown_reason == v.REASONS["officialEventDetail"] and rows["e2", "lastVerifiedAt"].unknown_reason == v.REASONS["lastVerifiedAt"]
+
+
+def test_offers_dealt_out_by_event_are_not_shuffled_again(spark):
+    offers = spark.createDataFrame([{"event_id": "e1", "seq": i, "url": f"https://t/{i % 2}", "source_url": "https://s/1", "url_kind": "event_detail", "sale_status": "open", "provider_label": "e+"} for i in range(40)], v.OFFER).repartition("event_id")
+    events = spark.createDataFrame([("e1", None, None)], EVENT)
+    plan = v.held(events, offers)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the offers once, the events once
+    row = plan.collect()[0]
+    assert [o.seq for o in row.offers] == [0, 1]  # offers that say the same are one
