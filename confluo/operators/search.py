@@ -1,9 +1,10 @@
 """Search by approximate substrings over several weighted fields.
 
-A pattern matches a field if it occurs in it with few errors (edits), counted as a share of its length. A pattern with k errors,
-cut into k + 1 pieces, has a piece that occurs as it is, so texts are found by posting lists of the pieces' rarest pairs of
-characters, then held against the piece, and only what is left is compared, by bit-parallel edit distance. Equal texts are
-compared once, however many items bear them. A longer pattern is compared in stretches of 32 characters.
+A pattern matches a field if it occurs in it with few errors (edits), counted as a share of its length. An error spoils two of a
+pattern's pairs of neighbouring characters at most, so texts that hold too few of them are passed over; the others are compared,
+by bit-parallel edit distance. Patterns and texts meet in tiles, a block of one against a block of the other, so no list of pairs
+is shuffled; the work is distinct patterns times distinct texts. Equal patterns are asked and equal texts compared once, however
+many queries and items bear them. A longer pattern is compared in stretches of 32 characters.
 
 An item's score is the product of its matching fields' scores, each to the power of the field's share of all weights and its
 norm (shorter fields count more); lower is better, 0.001 the least of a field that is not the pattern itself.
@@ -22,6 +23,8 @@ from confluo.functions import text
 
 #: Characters of a stretch, the least score of a match, and that of a field equal to the pattern.
 STRETCH, LEAST, EQUAL = 32, 0.001, 2.220446049250313e-16
+#: Patterns and texts of a tile, buckets of pairs of characters, and characters of a block of texts.
+PATTERNS, TEXTS, BUCKETS, CELLS = 1024, 8192, 2048, 2_000_000
 #: Decimals of a score; ties go by `seq`.
 DIGITS = 9
 
@@ -59,44 +62,30 @@ def stretches(queries: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumn("k", most_errors(F.char_length("pattern"), threshold))
 
 
-def pieces(patterns: DataFrame) -> DataFrame:
-    """pattern, k, piece: k + 1 pieces of each distinct pattern, of which one must occur as it is."""
-    length = F.char_length("pattern")
-    edge = lambda i: F.floor(i * length / (F.col("k") + 1)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.substring(F.col("pattern"), edge(i) + 1, edge(i + 1) - edge(i)))
-    return patterns.select("pattern", "k").distinct().select("pattern", "k", F.explode(F.array_distinct(cut)).alias("piece"))
-
-
-def grams(c: Column) -> Column:
-    """The distinct pairs of neighbouring characters, and the single ones."""
-    at = F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1)))
-    return F.array_distinct(F.filter(F.concat(F.transform(at, lambda i: F.substring(c, i, F.lit(2))), F.transform(at, lambda i: F.substring(c, i, F.lit(1)))), lambda g: g != ""))
+def encoded(texts: list[str]) -> np.ndarray:
+    """The code points of texts, a column each; shorter ones end in zeros."""
+    codes = np.zeros((max(map(len, texts), default=0), len(texts)), np.uint32)
+    for i, t in enumerate(texts):
+        codes[: len(t), i] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    return codes
 
 
-def candidates(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """(pattern, k, text): texts that hold a piece of the pattern. texts: text, distinct."""
-    postings = texts.select("text", F.explode(grams(F.col("text"))).alias("gram"))
-    counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
-    own = pieces(patterns)
-    wanted = own.select("*", F.explode(F.filter(grams(F.col("piece")), lambda g: F.char_length(g) == F.least(F.lit(2), F.char_length("piece")))).alias("gram"))
-    rare = wanted.join(counts, "gram", "left").groupBy("pattern", "k", "piece").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return rare.join(postings, "gram").filter(F.contains("text", "piece")).select("pattern", "k", "text").distinct()
+def distances(pattern: str, texts: list[str]) -> np.ndarray:
+    """The least edits that make the pattern a substring of each text."""
+    return measured(pattern, encoded(texts))
 
 
-def distances(pattern: str, texts: list[str]) -> np.ndarray:
-    """The least edits that make the pattern a substring of each text. Bit-parallel: a word holds a column of the table of
-    distances, and all texts step together."""
-    m, longest = len(pattern), max(map(len, texts), default=0)
-    codes = np.zeros((longest, len(texts)), np.uint32)
-    for i, t in enumerate(texts):
-        codes[: len(t), i] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+def measured(pattern: str, codes: np.ndarray) -> np.ndarray:
+    """As `distances`, of texts as `encoded`. Bit-parallel: a word holds a column of the table of distances, and all texts step
+    together."""
+    m, n = len(pattern), codes.shape[1]
     one, high = np.uint64(1), np.uint64(1 << (m - 1))
-    up, down = np.full(len(texts), (1 << m) - 1, np.uint64), np.zeros(len(texts), np.uint64)
-    score = np.full(len(texts), m)
+    up, down = np.full(n, (1 << m) - 1, np.uint64), np.zeros(n, np.uint64)
+    score = np.full(n, m)
     best = score.copy()
     places = {c: np.uint64(sum(1 << j for j, x in enumerate(pattern) if x == c)) for c in set(pattern)}
     for column in codes:
-        equal = np.zeros(len(texts), np.uint64)
+        equal = np.zeros(n, np.uint64)
         for c, bits in places.items():
             equal[column == ord(c)] = bits
         across = (((equal & up) + up) ^ up) | equal
@@ -108,24 +97,77 @@ def distances(pattern: str, texts: list[str]) -> np.ndarray:
     return best
 
 
+def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Buckets of pairs of neighbouring characters; pairs that share one only let more texts through."""
+    return (first.astype(np.uint64) * np.uint64(2654435761) + second.astype(np.uint64) * np.uint64(40503) >> np.uint64(5)) % np.uint64(BUCKETS)
+
+
+class Block:
+    """Texts with their code points, and for each bucket of pairs which texts hold one of it."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.codes = texts, encoded(texts)
+        self.held, at = np.zeros((BUCKETS, len(texts)), np.uint8), np.arange(len(texts))
+        lengths = np.array([len(t) for t in texts])
+        for j in range(len(self.codes) - 1):
+            long = lengths > j + 1
+            self.held[pairs(self.codes[j], self.codes[j + 1])[long], at[long]] = 1
+
+    def near(self, pattern: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of texts that hold the pattern with at most k errors, and those errors."""
+        own, least = np.frombuffer(pattern.encode("utf-32-le"), np.uint32), len(pattern) - 1 - 2 * k
+        at = np.arange(len(self.texts))
+        if least > 0:
+            at = at[np.add.reduce(self.held[pairs(own[:-1], own[1:])], axis=0, dtype=np.uint8) >= least]
+        errors = measured(pattern, self.codes[:, at]) if len(at) else at
+        return at[errors <= k], errors[errors <= k]
+
+
+def blocks(texts: list[str]) -> list[Block]:
+    """Texts by length, in blocks of at most CELLS characters, padding included."""
+    texts, out, start = sorted(texts, key=len), [], 0
+    for i in range(1, len(texts) + 1):
+        if i == len(texts) or (i + 1 - start) * len(texts[i]) > CELLS:
+            out.append(Block(texts[start:i]))
+            start = i
+    return out
+
+
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates with their errors, those within their bound."""
+    """What matches within each tile. Rows come by tile, texts (k is null) before patterns."""
+    tile, texts, own = None, [], None
     for x in batches:
-        by: dict[str, list[int]] = {}
-        texts = x.column("text").to_pylist()
-        for i, p in enumerate(x.column("pattern").to_pylist()):
-            by.setdefault(p, []).append(i)
-        errors = np.zeros(len(texts), np.int64)
-        for p, places in by.items():
-            errors[places] = distances(p, [texts[i] for i in places])
-        near = errors <= x.column("k").to_numpy()
-        yield pa.RecordBatch.from_arrays([x.column("pattern"), x.column("text"), pa.array(errors, pa.int32())], ["pattern", "text", "errors"]).filter(pa.array(near))
+        found: tuple[list, list, list] = ([], [], [])
+        for p, t, value, k in zip(*(x.column(c).to_pylist() for c in ("p", "t", "value", "k")), strict=True):
+            if tile != (p, t):
+                tile, texts, own = (p, t), [], None
+            if k is None:
+                texts.append(value)
+                continue
+            if own is None:
+                own = blocks(texts)
+            for block in own:
+                at, errors = block.near(value, k)
+                found[0].extend([value] * len(at))
+                found[1].extend(block.texts[i] for i in at)
+                found[2].extend(errors.tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int32())], ["pattern", "text", "errors"])
+
+
+def tiles(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(p, t, value, k): every block of patterns beside every block of texts. patterns: pattern, k; texts: text; both distinct."""
+    n_p, n_t = (max(1, -(-df.count() // most)) for df, most in ((patterns, PATTERNS), (texts, TEXTS)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = patterns.select(block("pattern", n_p).alias("p"), each(n_t).alias("t"), F.col("pattern").alias("value"), "k")
+    there = texts.select(each(n_p).alias("p"), block("text", n_t).alias("t"), F.col("text").alias("value"), F.lit(None).cast("int").alias("k"))
+    return there.unionByName(asked).repartition(n_p * n_t, "p", "t").sortWithinPartitions("p", "t", F.col("k").asc_nulls_first())
 
 
 def matches(queries: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """query, item, seq, score: all items that match. queries: query, pattern (an empty one finds nothing); rows: as of field_rows."""
     parts = stretches(queries, threshold)
-    found = candidates(parts, rows.select("text").distinct()).mapInArrow(compared, "pattern string, text string, errors int")
+    found = tiles(parts.select("pattern", "k").distinct(), rows.select("text").distinct()).mapInArrow(compared, "pattern string, text string, errors int")
     share = F.greatest(F.lit(LEAST), F.col("errors") / F.char_length("pattern"))
     per = parts.join(found, "pattern").groupBy("query", "whole", "n", "text").agg(F.sum(share).alias("s"), F.count("*").alias("hits"))
     score = F.when(F.col("text") == F.col("whole"), F.lit(EQUAL)).otherwise((F.col("s") + F.col("n") - F.col("hits")) / F.col("n"))
@@ -153,9 +195,11 @@ def search_all(queries: DataFrame, artists: DataFrame, venues: DataFrame, events
 
     queries: query, pattern. artists, venues, events: id (string), seq (order), and their fields; events also artist_ids.
     """
-    top_artists = best(matches(queries, field_rows(artists, ARTIST_FIELDS), NEAR), ARTISTS)
-    top_venues = best(matches(queries, field_rows(venues, VENUE_FIELDS), NEAR), VENUES)
-    direct = best(matches(queries, field_rows(events, EVENT_FIELDS), NEAR_EVENT), EVENTS).select("query", F.lit(0).alias("way"), "place", F.col("item").alias("id"))
+    asked = queries.select("query", normal(F.col("pattern")).alias("_whole")).filter("_whole <> ''")
+    patterns = asked.select(F.col("_whole").alias("query"), F.col("_whole").alias("pattern")).distinct()  # until the end a pattern is its own query
+    top_artists = best(matches(patterns, field_rows(artists, ARTIST_FIELDS), NEAR), ARTISTS)
+    top_venues = best(matches(patterns, field_rows(venues, VENUE_FIELDS), NEAR), VENUES)
+    direct = best(matches(patterns, field_rows(events, EVENT_FIELDS), NEAR_EVENT), EVENTS).select("query", F.lit(0).alias("way"), "place", F.col("item").alias("id"))
     of_artist = events.select(F.explode(F.array_distinct("artist_ids")).alias("item"), "seq", "id")
     wanted = top_artists.filter("place = 1").select("query", "item")
     nearest = F.row_number().over(Window.partitionBy("item").orderBy("seq", "id"))
@@ -165,5 +209,6 @@ def search_all(queries: DataFrame, artists: DataFrame, venues: DataFrame, events
     each = direct.unionByName(via).groupBy("query", "id").agg(F.min(F.struct("way", "place")).alias("at"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("at", "id"))
     shown = each.withColumn("place", place).filter(F.col("place") <= EVENTS)
-    row = lambda df, kind, key: df.select("query", F.lit(kind).alias("kind"), F.col("place").cast("int").alias("place"), F.col(key).cast("string").alias("id"))
-    return row(top_artists, "artist", "item").unionByName(row(top_venues, "venue", "item")).unionByName(row(shown, "event", "id"))
+    row = lambda df, kind, key: df.select(F.col("query").alias("_whole"), F.lit(kind).alias("kind"), F.col("place").cast("int").alias("place"), F.col(key).cast("string").alias("id"))
+    found = row(top_artists, "artist", "item").unionByName(row(top_venues, "venue", "item")).unionByName(row(shown, "event", "id"))
+    return asked.join(found, "_whole").select("query", "kind", "place", "id")

@@ -94,3 +94,27 @@ def test_events_of_the_best_artist(spark):
     queries = spark.createDataFrame([(1, "aimer"), (2, "nothing like it")], "query int, pattern string")
     got = [(r.kind, r.place, r.id) for r in search.search_all(queries, artists, venues, events).orderBy("kind", "place").collect()]
     assert got == [("artist", 1, "a"), ("artist", 2, "b"), *[("event", i + 1, f"e{x}") for i, x in enumerate([3, 7, 1, 5, 9, 11])]]
+
+
+def test_blocks_lose_no_match():
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcd é😀") for _ in range(r.randint(1, 40))) for _ in range(300)]
+    own = search.blocks(texts)
+    for _ in range(60):
+        t, n = r.choice(texts), r.randint(1, 32)
+        slip = list(t[:n])
+        slip[r.randrange(len(slip))] = r.choice("abx")
+        p = "".join(slip)
+        for k in (0, int(0.32 * len(p)), len(p) // 2):
+            got = {b.texts[i]: int(e) for b in own for i, e in zip(*b.near(p, k), strict=True)}
+            assert got == {x: e for x in texts if (e := edits(p, x)) <= k}, (p, k)
+
+
+def test_equal_patterns_are_asked_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search, "tiles", lambda patterns, texts, f=search.tiles: seen.append(patterns.count()) or f(patterns, texts))
+    artists = spark.createDataFrame([(f"a{i}", i, "Aimer", None, None, None, None) for i in range(9)], "id string, seq int, name_ja string, name_zh string, romaji string, kana string, aliases array<string>")
+    venues = spark.createDataFrame([], "id string, seq int, name_ja string, name_zh string, city string")
+    events = spark.createDataFrame([], "id string, seq int, title_ja string, title_zh string, tour_name string, artist_ids array<string>")
+    queries = spark.createDataFrame([(i, " AIMER" if i % 2 else "aimer") for i in range(50)], "query int, pattern string")
+    assert search.search_all(queries, artists, venues, events).count() == 50 * 5 and seen == [1, 1, 1]
